@@ -22,6 +22,8 @@ from turnstone.session import Scratch
 CAPACITY = 2048
 #: Permitted sequence lengths; the largest is the container's capacity.
 LENGTHS = (512, 1024, 2048)
+#: Cost of one more container, in tokens; it favours few long bins over many short ones.
+OPENING = 64
 #: Items packed together in one group. A group leaves at most a few bins partly filled, so the loss is about one bin in thousands of items.
 GROUP = 20_000
 
@@ -71,8 +73,8 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
             if not open_by_room[gap]:
                 rooms.pop(k)
         else:
-            # The least-cost length: expected waste per token of it, the longer one on ties.
-            length = min((c for c in lengths if c >= n), key=lambda c: (waste(c - n) / c, -c))
+            # The least-cost length: expected waste and the opening cost per token of it.
+            length = min((c for c in lengths if c >= n), key=lambda c: ((waste(c - n) + OPENING) / c, -c))
             b, gap = len(used), length
             used.append(0)
             room.append(length)

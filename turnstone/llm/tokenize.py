@@ -108,16 +108,33 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: the adjacent pair of lowest rank, leftmost first, is joined until none is left.
-
-        A heap of candidate pairs over a linked list keeps a piece of n bytes
-        at n log n, so texts without any boundary stay affordable.
-        """
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Ids of one piece: the adjacent pair of lowest rank, leftmost first, is joined until none is left."""
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
+        return self._merge_short(piece) if len(piece) <= 256 else self._merge_long(piece)
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """Keeps the rank of every adjacent pair in a list; a join renews two of them."""
+        ranks, none = self.ranks, 1 << 30
+        part = [piece[i : i + 1] for i in range(len(piece))]
+        pair = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pair:
+            low = min(pair)
+            if low == none:
+                break
+            i = pair.index(low)
+            part[i] += part.pop(i + 1)
+            del pair[i]
+            if i < len(pair):
+                pair[i] = ranks.get(part[i] + part[i + 1], none)
+            if i:
+                pair[i - 1] = ranks.get(part[i - 1] + part[i], none)
+        return [ranks[x] for x in part]
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """A heap of candidate pairs over a linked list: n log n for a piece of n bytes, so texts without any boundary stay affordable."""
+        ranks, n = self.ranks, len(piece)
         part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
