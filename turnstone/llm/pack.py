@@ -49,16 +49,11 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
 
     def waste(gap: int) -> int:
         """What a greedy fill with the items still left would leave of a gap."""
-        taken: dict[int, int] = {}
-        for _ in range(24):
-            k = bisect_left(present, gap + 1) - 1
-            while k >= 0 and left[present[k]] - taken.get(present[k], 0) <= 0:
-                k -= 1
-            if gap == 0 or k < 0:
-                break
+        k = bisect_left(present, gap + 1) - 1
+        while gap and k >= 0:
             n = present[k]
-            taken[n] = taken.get(n, 0) + 1
-            gap -= n
+            gap -= n * min(left[n], gap // n)
+            k = min(k, bisect_left(present, gap + 1)) - 1
         return gap
 
     for i in order:
