@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import pack, tokenize
+from turnstone.llm import pack, split, tokenize
 from turnstone.session import Scratch, table
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of the oversized turns; a repeated turn counts once."""
+    return split.split_oversized(table(spark, d, "turn")).distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that the splitting operator cut, hence those over the limit."""
+    pieces = split.split_oversized(table(spark, d, "turn"))
+    return pieces.where((F.col("piece") > 0) & (F.length("text") <= split.LIMIT)).select("id").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
@@ -21,8 +32,8 @@ def p7_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_bins": p7_bins}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p7_bins": p7_bins}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": f"select distinct id from turn where length(content) > {split.LIMIT}"}
