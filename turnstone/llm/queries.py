@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import pack, split, tokenize
+from turnstone.llm import conversation, pack, split, tokenize
 from turnstone.session import Scratch, table
 
 
@@ -22,6 +22,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where((F.col("piece") > 0) & (F.length("text") <= split.LIMIT)).select("id").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    lines, placed = conversation.paths(table(spark, d, "entry"), Scratch(spark, "p2"))
+    return conversation.judge(lines, placed).select("session_id")
+
+
+def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversation.conversations(table(spark, d, "entry"), Scratch(spark, "p2"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
@@ -32,7 +41,7 @@ def p7_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p7_bins": p7_bins}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_conversations": p2_conversations, "p6_ids": p6_ids, "p7_bins": p7_bins}
 
 
 def oracle_sql() -> dict[str, str]:
