@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import conversation, pack, split, tokenize
+from turnstone.llm import conversation, neardup, pack, split, tokenize
 from turnstone.session import Scratch, table
 
 
@@ -31,6 +31,17 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversation.conversations(table(spark, d, "entry"), Scratch(spark, "p2"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    members, pairs = neardup.similar_sets(table(spark, d, "turn"), Scratch(spark, "p3"))
+    return neardup.id_pairs(members, pairs)
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "p3")
+    members, pairs = neardup.similar_sets(table(spark, d, "turn"), scratch)
+    return neardup.groups(members, pairs, scratch)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
@@ -41,7 +52,7 @@ def p7_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_conversations": p2_conversations, "p6_ids": p6_ids, "p7_bins": p7_bins}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_bins": p7_bins}
 
 
 def oracle_sql() -> dict[str, str]:
