@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import conversation, neardup, pack, split, tokenize
+from turnstone.llm import conversation, neardup, pack, residue, split, tokenize
 from turnstone.session import Scratch, table
 
 
@@ -51,8 +51,16 @@ def p7_bins(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(sizes, Scratch(spark, "p7"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_bins": p7_bins}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found, "p8_kept": p8_kept}
 
 
 def oracle_sql() -> dict[str, str]:
