@@ -46,3 +46,14 @@ def previous(df: DataFrame, key: str, order: list[str], value: Column, out: str)
     heads = tails.withColumn("_head", F.lag("_tail").over(across)).where("_head is not null").drop("_tail")
     own = own.withColumn(out, F.lag("_value").over(inside)).drop("_value")
     return own.join(heads, [key, CHUNK], "left").withColumn(out, F.coalesce(out, "_head")).drop("_head")
+
+
+def following(df: DataFrame, key: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: ``value`` (never null) of the row right after, null for a key's last row."""
+    inside = Window.partitionBy(key, CHUNK).orderBy(*order)
+    own = df.withColumn("_value", value)
+    heads = own.groupBy(key, CHUNK).agg(F.min_by("_value", F.struct(*order)).alias("_head"))
+    across = Window.partitionBy(key).orderBy(CHUNK)
+    tails = heads.withColumn("_tail", F.lead("_head").over(across)).where("_tail is not null").drop("_head")
+    own = own.withColumn(out, F.lead("_value").over(inside)).drop("_value")
+    return own.join(tails, [key, CHUNK], "left").withColumn(out, F.coalesce(out, "_tail")).drop("_tail")
