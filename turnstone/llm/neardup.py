@@ -1,8 +1,9 @@
 """Near-duplicate texts with small edits (problem 3): vantage-point trees over lossless fingerprints.
 
-A text is the set of its runs of three words, each a 64-bit hash; similarity is
+A text is the set of its runs of three words, each a 40-bit hash; similarity is
 that of the sets (Jaccard). Its *fingerprint* is a parity sketch: every run
-flips one of 1,024 bits. Two sets that differ in d runs have sketches at a
+flips one of at least 1.5 bits per run, 128 at least (a power of two, so that
+halves may be folded onto each other to compare sketches of two lengths). Two sets that differ in d runs have sketches at a
 Hamming distance of at most d, and similarity t of sets with a and b runs means
 d <= (1-t)/(1+t) * (a+b). So a search within that radius loses nothing, and
 because the Hamming distance is a metric, the triangle inequality may prune.
@@ -10,11 +11,15 @@ because the Hamming distance is a metric, the triangle inequality may prune.
 One tree over all texts cannot prune: unrelated texts all lie at about the same
 distance from any vantage point (README, "Near duplicates"). The top level of
 the search therefore routes texts into shards by their rarest runs - two similar
-sets share a run among the first n - ceil(t*n) + 1 in any fixed order - and
-vantage-point trees search inside shards. A shard too large for a task is
+sets share k runs among the first n - ceil(t*n) + k in any fixed order of runs -
+and vantage-point trees search inside shards; in shards of a few members the
+tree would be a single leaf, so their pairs are just counted, and those that
+share fewer than k runs fall away. A shard too large for a task is
 partitioned by the distance to a vantage point, texts in the boundary zone going
 to both sides, until the parts are small; a part that does not shrink is
-compared block by block. Every step is exact up to collisions of 64-bit hashes.
+compared block by block. Pairs that pass the tree are compared exactly, run by run. Every step is exact
+up to collisions of 40-bit hashes within a pair of texts and of the 64-bit
+hashes that stand for whole sets.
 """
 
 from __future__ import annotations
@@ -33,11 +38,15 @@ from turnstone.session import Scratch
 THRESHOLD = 0.7
 WORDS = 3
 LEAST_WORDS = 30
-BITS = 1024
+BITS = 128
 #: Buckets of the frequency table that orders runs: a fixed size, whatever the data.
 BUCKETS = 1 << 20
 #: Members up to which one task searches a shard.
 SHARD = 2000
+#: Members up to which a shard is so small that its pairs are counted instead of searched by a tree.
+SMALL = 8
+#: Runs that similar sets must share in their prefixes (fewer for tiny sets); prefixes are longer by as much.
+SHARED = 4
 _PASS = 1 << 20
 _U = np.uint64
 
@@ -101,11 +110,33 @@ class Shingler:
         for g, number in enumerate(numbers):
             a, b = first[g], first[g + 1]
             if b - a >= max(least, words):
-                yield number, np.unique(joint[a : b - words + 1])
+                yield number, np.unique(joint[a : b - words + 1] >> _U(24))
 
 
 def sketch(runs: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((runs >> _U(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    bits = BITS
+    while bits < 1.5 * len(runs) and bits < 1 << 22:
+        bits *= 2
+    return np.packbits((np.bincount((runs >> _U(8)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fold(sk: bytes | np.ndarray, size: int = BITS // 8) -> np.ndarray:
+    """A sketch in ``size`` bytes: still at most as far from another as the sets differ."""
+    a = np.frombuffer(sk, np.uint8) if isinstance(sk, bytes) else sk
+    while len(a) > size:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a
+
+
+def pack_runs(runs: np.ndarray) -> bytes:
+    """Five bytes per run."""
+    return runs.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack_runs(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(_U).ravel()
 
 
 def set_id(runs: np.ndarray) -> int:
@@ -115,8 +146,25 @@ def set_id(runs: np.ndarray) -> int:
     return int((_mix(np.array([a ^ (n << _U(48))]))[0]).astype(np.int64))
 
 
+def shared_runs(n: np.ndarray | int, t: float):  # noqa: ANN201 - as n
+    """How many runs of their prefixes two similar sets share at least, by the smaller set's size."""
+    return np.minimum(SHARED, np.ceil(t * n - 1e-9)).astype(np.int64)
+
+
 def prefix_length(n: int, t: float) -> int:
-    return n - math.ceil(t * n - 1e-9) + 1
+    """Similar sets share ``shared_runs`` of their first so many runs, in any fixed order of all runs."""
+    return n - math.ceil(t * n - 1e-9) + int(shared_runs(n, t))
+
+
+def needed_runs(least: np.ndarray, most: np.ndarray, t: float) -> np.ndarray:
+    """How many runs the prefixes of two similar sets of these sizes share at least.
+
+    Of all common runs those beyond the prefix that ends first are at most the
+    rest of its set; the others are in both prefixes.
+    """
+    common = np.ceil(t / (1 + t) * (least + most) - 1e-9).astype(np.int64)
+    rest = [np.ceil(t * n - 1e-9).astype(np.int64) - shared_runs(n, t) for n in (least, most)]
+    return np.maximum(shared_runs(least, t), common - np.maximum(*rest))
 
 
 def text_sets(texts: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
@@ -132,7 +180,7 @@ def text_sets(texts: DataFrame, id_col: str, text_col: str, words: int, least: i
                 cls.append(set_id(runs))
                 n.append(len(runs))
                 sk.append(sketch(runs))
-                raw.append(runs.tobytes())
+                raw.append(pack_runs(runs))
             ids = batch.column(0).take(pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(raw, pa.binary())],
@@ -156,7 +204,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for v in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(v, _U) % _U(BUCKETS)).astype(np.int64), 1)
+                np.add.at(total, (unpack_runs(v) % _U(BUCKETS)).astype(np.int64), 1)
         if total.any():
             small = np.minimum(total, 1 << 31).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
@@ -189,7 +237,7 @@ def _keys(sets: DataFrame, table: np.ndarray, t: float, hot: int) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                runs = np.frombuffer(raw, _U)
+                runs = unpack_runs(raw)
                 df = counts[(runs % _U(BUCKETS)).astype(np.int64)]
                 order = np.lexsort((runs, df))[: prefix_length(len(runs), t)]
                 keys.append(runs[order])
@@ -205,66 +253,121 @@ def _keys(sets: DataFrame, table: np.ndarray, t: float, hot: int) -> DataFrame:
     return sets.select("cls", "runs").mapInArrow(run, "key bigint, cls bigint, n int, hot boolean")
 
 
-def _shards(keys: DataFrame, limit: int, t: float) -> DataFrame:
-    """(shard, cls) of every key that at least two sets share.
+def _shards(keys: DataFrame, limit: int, small: int, t: float) -> DataFrame:
+    """What sets that share keys: (shard, a, b, seen, need).
 
-    Keys with the same members make one shard. Sorted partitions are read as a
-    stream, run by run; a run beyond ``limit`` is passed on under its key
-    without being held.
+    Keys with up to ``small`` members give their pairs (a, b) of like sizes,
+    ``seen`` times, ``need`` being the number of shared keys of a similar pair;
+    ``shard`` is null. Keys with more members give a shard with a row for each
+    member, ``b`` null; equal lists of members make one shard. Sorted
+    partitions are read as a stream; a key beyond ``limit`` members is passed
+    on without being held. A similar pair either shares a larger shard or is
+    counted often enough: nothing is lost.
     """
     ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
+    names = ["shard", "a", "b", "seen", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        key0, held, streaming = None, np.zeros(0, np.int64), False
-        sizes0 = np.zeros(0, np.int32)
-        shard_out: list[np.ndarray] = []
-        cls_out: list[np.ndarray] = []
-
-        def close(members: np.ndarray, sizes: np.ndarray) -> None:
-            first = np.concatenate([[True], members[1:] != members[:-1]])
-            members, sizes = members[first], sizes[first]
-            if len(members) < 2 or sizes.min() < t * sizes.max() - 1e-9 and len(members) == 2:
-                return
-            gid = set_id(members.view(_U))
-            if gid not in seen:
-                if len(seen) < 1_000_000:
-                    seen.add(gid)
-                shard_out.append(np.full(len(members), gid))
-                cls_out.append(members)
+        lists: set[int] = set()
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        members: list[tuple[np.ndarray, np.ndarray]] = []
+        pending = 0
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        streaming = None
+
+        def digest(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
+            """All keys of k are complete and ascending."""
+            nonlocal pending
+            own = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])  # copies from other tasks
+            k, c, n = k[own], c[own], n[own]
+            lo = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            m = np.diff(np.append(lo, len(k)))
+            for size in range(2, small + 1):
+                at = lo[m == size]
+                if not len(at):
+                    continue
+                cc, nn = c[at[:, None] + np.arange(size)], n[at[:, None] + np.arange(size)]
+                for i in range(size):
+                    for j in range(i + 1, size):
+                        least, most = np.minimum(nn[:, i], nn[:, j]), np.maximum(nn[:, i], nn[:, j])
+                        like = least >= t * most - 1e-9
+                        if like.any():
+                            pairs.append((cc[like, i], cc[like, j], needed_runs(least[like], most[like], t)))
+                            pending += int(like.sum())
+            for a, size in zip(lo[m > small].tolist(), m[m > small].tolist()):
+                own = c[a : a + size]
+                gid = set_id(own.view(_U))
+                if gid not in lists:
+                    if len(lists) < 1_000_000:
+                        lists.add(gid)
+                    members.append((np.full(size, gid), own))
+                    pending += size
 
         def emit() -> Iterator[pa.RecordBatch]:
-            if shard_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard_out)), pa.array(np.concatenate(cls_out))], names=["shard", "cls"])
-                shard_out.clear()
-                cls_out.clear()
+            nonlocal pending
+            pending = 0
+            if pairs:
+                a, b, need = (np.concatenate(x) for x in zip(*pairs))
+                pairs.clear()
+                order = np.lexsort((b, a))
+                a, b, need = a[order], b[order], need[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                seen = np.diff(np.append(first, len(a)))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.array(a[first]), pa.array(b[first]), pa.array(seen), pa.array(need[first])], names=names)
+            if members:
+                g, c = (np.concatenate(x) for x in zip(*members))
+                members.clear()
+                none = pa.nulls(len(g), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), none, none, none], names=names)
 
         for batch in batches:
-            k, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            k, c, n = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest))
             if not len(k):
                 continue
-            cut = np.flatnonzero(k[1:] != k[:-1]) + 1
-            lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
-            many = (hi - lo > 1) | (np.arange(len(lo)) == 0) | (np.arange(len(lo)) == len(lo) - 1)
-            for a, b in zip(lo[many].tolist(), hi[many].tolist()):
-                if k[a] != key0:
-                    if not streaming and len(held) > 1:
-                        close(held, sizes0)
-                    key0, held, sizes0, streaming = k[a], c[a:b], n[a:b], False
-                else:
-                    held, sizes0 = np.concatenate([held, c[a:b]]), np.concatenate([sizes0, n[a:b]])
-                if len(held) > limit:
-                    streaming = True
-                if streaming:
-                    shard_out.append(np.full(len(held), key0))
-                    cls_out.append(held)
-                    held, sizes0 = np.zeros(0, np.int64), np.zeros(0, np.int32)
-            yield from emit()
-        if not streaming and len(held) > 1:
-            close(held, sizes0)
+            if streaming is not None:
+                end = int(np.searchsorted(k, streaming, side="right"))
+                if end:
+                    members.append((k[:end], c[:end]))
+                    pending += end
+                    k, c, n = k[end:], c[end:], n[end:]
+                if not len(k):
+                    rest = [k, c, n]
+                    yield from emit()
+                    continue
+                streaming = None
+            last = int(np.searchsorted(k, k[-1], side="left"))
+            if last:
+                digest(k[:last], c[:last], n[:last])
+            rest = [k[last:], c[last:], n[last:]]
+            if len(rest[0]) > limit:
+                streaming = rest[0][0]
+                members.append((rest[0], rest[1]))
+                pending += len(rest[0])
+                rest = [x[:0] for x in rest]
+            if pending > 2_000_000:
+                yield from emit()
+        if len(rest[0]):
+            digest(*rest)
         yield from emit()
 
-    return ordered.select("key", "cls", "n").mapInArrow(run, "shard bigint, cls bigint")
+    return ordered.select("key", "cls", "n").mapInArrow(run, "shard bigint, a bigint, b bigint, seen bigint, need bigint")
+
+
+def _close_pairs(pairs: DataFrame, sketches: DataFrame, t: float) -> DataFrame:
+    """The pairs whose sketches lie within the radius of a similar pair."""
+    one = sketches.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    two = sketches.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+
+    @F.pandas_udf("int")
+    def hamming(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            size = min(len(p), len(q))
+            out.append(int(np.bitwise_count(fold(p, size) ^ fold(q, size)).sum()))
+        return pd.Series(out, dtype="int32")
+
+    near = F.lit((1 - t) / (1 + t)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-9)
+    return pairs.join(one, "a").join(two, "b").where(hamming("x", "y") <= near).select("a", "b")
 
 
 def _distances(rows: DataFrame) -> DataFrame:
@@ -272,8 +375,8 @@ def _distances(rows: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint8) ^ np.frombuffer(b"".join(b), np.uint8)
-        return pd.Series(np.bitwise_count(x).reshape(len(a), -1).sum(1).astype(np.int32))
+        x = np.stack([fold(s) for s in a]) ^ np.stack([fold(s) for s in b]) if len(a) else np.zeros((0, 1), np.uint8)
+        return pd.Series(np.bitwise_count(x).sum(1).astype(np.int32))
 
     return rows.withColumn("d", hamming("sketch", "vantage"))
 
@@ -332,24 +435,29 @@ class Tree:
     def _far(self, i: int, j: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.sk[j] ^ self.sk[i]).sum(1).astype(np.int64)
 
-    def pairs(self) -> Iterator[tuple[int, int]]:
-        """Pairs that may be similar: within the radius by sketch and by size. Exact: no similar pair is missing."""
-        yield from self._inside(np.argsort(self.n, kind="stable"))
-
     def _close(self, i: int, j: np.ndarray, d: np.ndarray | None = None) -> np.ndarray:
         d = self._far(i, j) if d is None else d
         self.visited += len(j)
         lo, hi = np.minimum(self.n[j], self.n[i]), np.maximum(self.n[j], self.n[i])
         return j[(d <= self.ratio * (self.n[j] + self.n[i]) + 1e-9) & (lo >= self.t * hi - 1e-9)]
 
-    def _inside(self, members: np.ndarray) -> Iterator[tuple[int, int]]:
-        stack: list[tuple[np.ndarray, np.ndarray]] = [(members, np.zeros(0, np.int64))]
+    def _each(self, own: np.ndarray, guests: np.ndarray) -> Iterator[tuple[int, int]]:
+        for x, i in enumerate(own.tolist()):
+            for j in self._close(i, np.concatenate([own[x + 1 :], guests])).tolist():
+                yield i, j
+
+    def pairs(self, own: np.ndarray, guests: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of two members of ``own``, or of one and a guest, that may be similar.
+
+        A pair counts if it is within the radius by sketch and by size; no
+        similar pair is missing.
+        """
+        reach = self.ratio * (1 + 1 / self.t)
+        stack = [(own[np.argsort(self.n[own], kind="stable")], guests)]
         while stack:
             own, guests = stack.pop()
             if len(own) <= self.LEAF:
-                for x, i in enumerate(own.tolist()):
-                    for j in self._close(i, np.concatenate([own[x + 1 :], guests])).tolist():
-                        yield i, j
+                yield from self._each(own, guests)
                 continue
             v, rest = int(own[0]), own[1:]
             d, dg = self._far(v, rest), self._far(v, guests)
@@ -357,62 +465,87 @@ class Tree:
                 yield v, j
             mu = np.median(d)
             inner, outer = rest[d <= mu], rest[d > mu]
-            if not len(outer):  # all at one distance: compare with the next member instead
-                for x, i in enumerate(rest.tolist()):
-                    for j in self._close(i, np.concatenate([rest[x + 1 :], guests])).tolist():
-                        yield i, j
+            if not len(outer):  # all at one distance from here: nothing to cut
+                yield from self._each(rest, guests)
                 continue
             # Triangle bound: |d(v,x) - d(v,y)| <= d(x,y) <= radius for a similar pair.
-            reach = self.ratio * (1 + 1 / self.t)
             edge = outer[d[d > mu] - reach * self.n[outer] <= mu]
-            inner_guests = guests[dg - reach * self.n[guests] <= mu]
-            outer_guests = guests[dg + reach * self.n[guests] > mu]
-            stack.append((inner, np.concatenate([edge, inner_guests])))
-            stack.append((outer, outer_guests))
+            stack.append((inner, np.concatenate([edge, guests[dg - reach * self.n[guests] <= mu]])))
+            stack.append((outer, guests[dg + reach * self.n[guests] > mu]))
+
 
+def tree_pairs(sketches: list[bytes], n: list[int], t: float) -> Iterator[tuple[int, int]]:
+    """Pairs of a shard that may be similar. Sketches of one length share a tree.
 
-def _search(members: DataFrame, t: float, limit: int) -> DataFrame:
-    """(a, b, common, n_a, n_b): exact similar pairs of sets inside shards, a < b."""
+    Similar sets differ in size by less than a factor of two (t > 0.5), so
+    their sketches are of the same or of neighbouring lengths; the longer ones
+    visit the tree of the shorter ones as guests, folded.
+    """
+    size, sizes = np.array([len(s) for s in sketches]), np.array(n)
+    for length in np.unique(size).tolist():
+        own, guests = np.flatnonzero(size == length), np.flatnonzero(size == 2 * length)
+        if len(own) + len(guests) < 2:
+            continue
+        rows = np.concatenate([own, guests])
+        folded = np.stack([fold(sketches[i], length) for i in rows.tolist()]).view(_U)
+        tree = Tree(folded, sizes[rows], t)
+        for i, j in tree.pairs(np.arange(len(own)), np.arange(len(own), len(rows))):
+            yield int(rows[i]), int(rows[j])
+
+
+def _search(members: DataFrame, t: float) -> DataFrame:
+    """(a, b), a < b: pairs of sets inside shards that the trees let through."""
     ordered = members.repartition("shard").sortWithinPartitions("shard", "cls")
 
-    def shard(rows: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
-        runs = [r for _, _, r in rows]
-        tree = Tree(np.frombuffer(b"".join(s for _, s, _ in rows), np.uint8).reshape(len(rows), -1), np.array([len(r) for r in runs]), t)
-        for i, j in tree.pairs():
-            common = len(np.intersect1d(runs[i], runs[j], assume_unique=True))
-            if common >= t * (len(runs[i]) + len(runs[j]) - common) - 1e-9:
-                i, j = (i, j) if rows[i][0] < rows[j][0] else (j, i)
-                yield rows[i][0], rows[j][0], common, len(runs[i]), len(runs[j])
+    def shard(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
+        for i, j in tree_pairs([r[2] for r in rows], [r[1] for r in rows], t):
+            yield min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, []
-        found: list[tuple[int, int, int, int, int]] = []
+        found: set[tuple[int, int]] = set()
+
+        def take() -> pa.RecordBatch:
+            a, b = zip(*found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for g, c, s, r in zip(*cols):
+            for g, c, n, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if g != current:
-                    found.extend(shard(rows)) if len(rows) > 1 else None
+                    if len(rows) > 1:
+                        found.update(shard(rows))
                     current, rows = g, []
                 if not rows or rows[-1][0] != c:
-                    rows.append((c, s, np.frombuffer(r, _U)))
-            if found:
-                yield _pairs(found)
-                found = []
+                    rows.append((c, n, s))
+            if len(found) > 100_000:
+                yield take()
         if len(rows) > 1:
-            found.extend(shard(rows))
+            found.update(shard(rows))
         if found:
-            yield _pairs(found)
+            yield take()
+
+    return ordered.select("shard", "cls", "n", "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
 
-    def _pairs(found: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
-        cols = list(zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "common", "n_a", "n_b"])
 
-    return ordered.select("shard", "cls", "sketch", "runs").mapInArrow(run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint").distinct()
+def _verify(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(a, b, common, n_a, n_b) of the pairs that are similar by their runs."""
+    one = sets.select(F.col("cls").alias("a"), F.col("runs").alias("x"))
+    two = sets.select(F.col("cls").alias("b"), F.col("runs").alias("y"))
+
+    @F.pandas_udf("int")
+    def common(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([len(np.intersect1d(unpack_runs(p), unpack_runs(q), assume_unique=True)) for p, q in zip(x, y)], dtype="int32")
+
+    both = pairs.join(one, "a").join(two, "b").select(
+        "a", "b", common("x", "y").alias("common"), (F.length("x") / 5).cast("bigint").alias("n_a"), (F.length("y") / 5).cast("bigint").alias("n_b")
+    )
+    return both.where(F.col("common") >= F.lit(t) * (F.col("n_a") + F.col("n_b") - F.col("common")) - F.lit(1e-9))
 
 
 def similar_sets(
     texts: DataFrame, scratch: Scratch, id_col: str = "id", text_col: str = "content", t: float = THRESHOLD,
-    words: int = WORDS, least: int = LEAST_WORDS, limit: int = SHARD,
+    words: int = WORDS, least: int = LEAST_WORDS, limit: int = SHARD, small: int = SMALL,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (id, cls) of every text that takes part, and (a, b, common, n_a, n_b) of similar classes.
 
@@ -421,19 +554,34 @@ def similar_sets(
     one id with different texts are members of different classes. An empty
     table gives empty results.
     """
+    if not 0.5 < t <= 1:
+        raise ValueError("the threshold must be above one half")
     sets = scratch.save(text_sets(texts, id_col, text_col, words, least), "sets")
     table = frequencies(sets)
     keys = _keys(sets, table, t, hot=50 * limit)
-    shards = scratch.save(_shards(keys, limit, t), "shards")
-    size = shards.groupBy("shard").agg(F.count_distinct("cls").alias("m"))
+    shared = scratch.save(_shards(keys.where("not hot"), limit, small, t), "shared")
+    scratch.release()
+    # Keys that are common everywhere are not brought together by key: they are large shards from the start.
+    hot = keys.where("hot").select(F.col("key").alias("shard"), "cls")
+    large = shared.where("b is null").select("shard", F.col("a").alias("cls")).unionByName(hot)
+    large = scratch.save(large.distinct(), "large")
+    size = large.groupBy("shard").agg(F.count("*").alias("m"))
     if size.where(F.col("m") > limit).limit(1).count():
-        points = scratch.save(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "points")
-        shards = divide(shards.distinct(), points, scratch, limit, t)
-    shards = shards.distinct()
-    # Only sets that share a shard are needed further: a filter of fixed size keeps the others from the shuffle.
-    wanted = _sieve(shards, sets)
-    payload = wanted.select("cls", "sketch", "runs").dropDuplicates(["cls"])
-    pairs = scratch.save(_search(shards.join(payload, "cls"), t, limit), "pairs")
+        points = scratch.save(sets.select("cls", "n", "sketch").dropDuplicates(["cls"]), "points")
+        large = scratch.save(divide(large, points, scratch, limit, t).distinct(), "divided")
+    # Only sets in a shard or pair, then only those in a close pair, are needed: a filter of fixed size keeps the others from the shuffle.
+    counted = shared.where("b is not null").groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.max("need").alias("need"))
+    counted = scratch.save(counted.where("seen >= need").select("a", "b"), "counted")
+    scratch.drop("shared")
+    scratch.release()
+    ends = counted.select(F.col("a").alias("cls")).unionByName(counted.select(F.col("b").alias("cls"))).unionByName(large.select("cls"))
+    sketches = scratch.save(_sieve(ends, sets.select("cls", "n", "sketch")).dropDuplicates(["cls"]), "sketches")
+    passed = _search(large.join(sketches, "cls"), t).unionByName(_close_pairs(counted, sketches, t))
+    passed = scratch.save(passed.distinct(), "passed")
+    scratch.release()
+    ends = passed.select(F.col("a").alias("cls")).unionByName(passed.select(F.col("b").alias("cls")))
+    payload = scratch.save(_sieve(ends, sets.select("cls", "runs")).dropDuplicates(["cls"]), "payload")
+    pairs = scratch.save(_verify(passed, payload, t), "pairs")
     members = scratch.save(sets.select(id_col, "cls").distinct(), "members")
     return members, pairs
 

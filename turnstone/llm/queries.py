@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import conversation, neardup, pack, residue, split, tokenize
+from turnstone.llm import conversation, neardup, pack, pii, residue, split, tokenize
 from turnstone.session import Scratch, table
 
 
@@ -42,6 +42,20 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(members, pairs, scratch)
 
 
+def p4_details(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
+    return pii.find_personal(table(spark, d, "turn"), table(spark, d, "name_list"), scratch)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_details(spark, d, Scratch(spark, "p4")).select("id", "kind", "found").distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "p4")
+    turns = table(spark, d, "turn").select("id", "content").distinct()
+    return pii.redact(turns, scratch.save(p4_details(spark, d, scratch), "details"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
@@ -60,7 +74,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found, "p8_kept": p8_kept}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found, "p8_kept": p8_kept}
 
 
 def oracle_sql() -> dict[str, str]:
