@@ -230,8 +230,8 @@ def _simplify(node: Node) -> Node | None:
     return None if not kept else kept[0] if len(kept) == 1 else Node(node.op, kept, distance=node.distance)
 
 
-def _starts(tokens: str, p: Phrase) -> Column:
-    """Places at which the phrase stands in a token array."""
+def _starts(tokens: Column, p: Phrase) -> Column:
+    """Places at which the phrase stands in a token array, which must be a lambda's variable: another expression would be computed anew for every place."""
     k = len(p.words)
 
     def here(i: Column) -> Column:
@@ -270,31 +270,33 @@ def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
     if node is None:
         return docs.where(F.lit(False)).withColumn("fts_rank", F.lit(0.0))
     phrases = _phrases(node)
-    df = index(docs, id_col, text_col)
-    names = {}
-    for i, p in enumerate(phrases):
-        names[id(p)] = i
-        for c, t in (("doc_id", "_id_tokens"), ("content", "_tokens")):
-            if p.columns is None or c in p.columns:
-                df = df.withColumn(f"_{c}_{i}", _starts(t, p))
-            else:
-                df = df.withColumn(f"_{c}_{i}", F.array().cast("array<int>"))
-
-    def has(i: int) -> Column:
-        return (F.size(f"_doc_id_{i}") > 0) | (F.size(f"_content_{i}") > 0)
-
-    def matches(x: Node) -> Column:
-        if x.op == "phrase":
-            return has(names[id(x.phrase)])
-        if x.op == "near":
-            return _near(x, names)
-        parts = [matches(p) for p in x.parts]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if x.op == "and" else out | p if x.op == "or" else out & ~p
-        return out
-
-    df = df.select(*cols, "_dl", *[F.size(f"_content_{i}").alias(f"_f{i}") for i in range(len(phrases))], *[has(i).alias(f"_h{i}") for i in range(len(phrases))], matches(node).alias("_hit"))
+    names = {id(p): i for i, p in enumerate(phrases)}
+    none = F.array().cast("array<int>")
+
+    def facts(own: Column) -> Column:
+        """All that is asked of one row's tokens, which are computed once and bound to the lambda's variable."""
+        at = [{c: _starts(own[c], p) if p.columns is None or c in p.columns else none for c in WEIGHTS} for p in phrases]
+        has = [(F.size(x["doc_id"]) > 0) | (F.size(x["content"]) > 0) for x in at]
+
+        def matches(x: Node) -> Column:
+            if x.op == "phrase":
+                return has[names[id(x.phrase)]]
+            if x.op == "near":
+                return _near(x, [at[names[id(p.phrase)]] for p in x.parts])
+            parts = [matches(p) for p in x.parts]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out & p if x.op == "and" else out | p if x.op == "or" else out & ~p
+            return out
+
+        return F.struct(
+            (F.size(own["doc_id"]) + F.size(own["content"])).alias("dl"), matches(node).alias("hit"),
+            *[F.size(x["content"]).alias(f"f{i}") for i, x in enumerate(at)], *[h.alias(f"h{i}") for i, h in enumerate(has)],
+        )
+
+    own = F.struct(text.tokens(F.col(id_col).cast("string")).alias("doc_id"), text.tokens(F.col(text_col)).alias("content"))
+    df = docs.withColumn("_x", F.get(F.transform(F.array(own), facts), F.lit(0)))
+    df = df.select(*cols, F.col("_x.dl").alias("_dl"), F.col("_x.hit").alias("_hit"), *[F.col(f"_x.f{i}").alias(f"_f{i}") for i in range(len(phrases))], *[F.col(f"_x.h{i}").alias(f"_h{i}") for i in range(len(phrases))])
     stats = df.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(f"_h{i}").alias(f"_n{i}") for i in range(len(phrases))]).withColumn("_one", F.lit(1))
     hits = df.where("_hit")
     if where is not None:
@@ -310,21 +312,19 @@ def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
     return out.orderBy("fts_rank", id_col).limit(limit) if limit else out
 
 
-def _near(x: Node, names: dict[int, int]) -> Column:
+def _near(x: Node, at: list[dict[str, Column]]) -> Column:
     """All phrases within ``distance`` tokens of each other in one column."""
+    sizes = [len(p.phrase.words) for p in x.parts]
     out = F.lit(False)
-    for c in ("doc_id", "content"):
-        arrays = [(F.col(f"_{c}_{names[id(p.phrase)]}"), len(p.phrase.words)) for p in x.parts]
-        first, _ = arrays[0]
-        size = sum(n for _, n in arrays)
+    for c in WEIGHTS:
 
-        def close(i: Column, arrays=arrays, size=size) -> Column:
+        def close(i: Column, c: str = c) -> Column:
             ok = F.lit(True)
-            for a, n in arrays[1:]:
-                ok = ok & F.exists(a, lambda j: (F.abs(i - j) <= x.distance + size - n))
+            for places, n in zip(at[1:], sizes[1:]):
+                ok = ok & F.exists(places[c], lambda j: F.abs(i - j) <= x.distance + sum(sizes) - n)
             return ok
 
-        out = out | F.exists(first, close)
+        out = out | F.exists(at[0][c], close)
     return out
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.plans import incremental
+from turnstone.plans import incremental, recall
 
-_MODULES = [incremental]
+_MODULES = [recall, incremental]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
