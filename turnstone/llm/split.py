@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 8000
@@ -52,14 +52,14 @@ def split_oversized(
     if not 0 <= overlap < limit // 4:
         raise ValueError("the overlap must be less than a quarter of the limit")
     large = items.where(F.length(text_col) > limit).select(id_col, F.col(text_col).alias("_text"))
-    cut = large.select(id_col, F.regexp_extract_all("_text", F.lit(pattern(limit, overlap)), F.lit(0)).alias("_new"))
-    with_overlap = F.transform(
-        "_new",
-        lambda new, i: F.struct(
-            F.when(i == 0, F.lit("")).otherwise(F.substring(F.get("_new", i - 1), -max(overlap, 1), overlap)).alias("lead"),
-            new.alias("new"),
-        ),
-    )
-    return cut.select(id_col, F.size("_new").alias("n_pieces"), F.posexplode(with_overlap).alias("piece", "_p")).select(
+    # The matches are bound to a lambda's variable, so that they are found once and not for every piece.
+    matches = F.regexp_extract_all("_text", F.lit(pattern(limit, overlap)), F.lit(0))
+
+    def pieces(new: Column) -> Column:
+        lead = lambda i: F.when(i == 0, F.lit("")).otherwise(F.substring(F.get(new, i - 1), -max(overlap, 1), overlap))
+        return F.transform(new, lambda x, i: F.struct(lead(i).alias("lead"), x.alias("new")))
+
+    cut = large.select(id_col, F.get(F.transform(F.array(matches), pieces), F.lit(0)).alias("_all"))
+    return cut.select(id_col, F.size("_all").alias("n_pieces"), F.posexplode("_all").alias("piece", "_p")).select(
         id_col, "piece", "n_pieces", F.length("_p.lead").alias("overlap"), F.concat("_p.lead", "_p.new").alias("text")
     )
