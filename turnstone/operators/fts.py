@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -312,19 +313,23 @@ def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
     return out.orderBy("fts_rank", id_col).limit(limit) if limit else out
 
 
+def _within(i: Column, most: int):  # noqa: ANN202
+    return lambda j: F.abs(i - j) <= most
+
+
 def _near(x: Node, at: list[dict[str, Column]]) -> Column:
     """All phrases within ``distance`` tokens of each other in one column."""
     sizes = [len(p.phrase.words) for p in x.parts]
     out = F.lit(False)
-    for c in WEIGHTS:
+    def close(c: str):  # noqa: ANN202
+        def ok(i: Column) -> Column:
+            parts = [F.exists(places[c], _within(i, x.distance + sum(sizes) - n)) for places, n in zip(at[1:], sizes[1:])]
+            return reduce(lambda p, q: p & q, parts, F.lit(True))
 
-        def close(i: Column, c: str = c) -> Column:
-            ok = F.lit(True)
-            for places, n in zip(at[1:], sizes[1:]):
-                ok = ok & F.exists(places[c], lambda j: F.abs(i - j) <= x.distance + sum(sizes) - n)
-            return ok
+        return ok
 
-        out = out | F.exists(at[0][c], close)
+    for c in WEIGHTS:
+        out = out | F.exists(at[0][c], close(c))
     return out
 
 

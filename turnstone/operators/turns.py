@@ -24,7 +24,7 @@ def from_json_lines(lines: DataFrame) -> DataFrame:
     is not marked as meta; an assistant line gives its text blocks.
     """
     stripped = text.strip(F.col("line"))
-    v = F.try_parse_json(stripped)
+    v = F.when(stripped.endswith("}"), F.try_parse_json(stripped))
     df = lines.withColumn("v", v).where(F.schema_of_variant("v").startswith("OBJECT"))
     content = F.expr("try_variant_get(v, '$.message.content', 'variant')")
     df = df.withColumn("c", content)
@@ -62,8 +62,8 @@ def from_entries(entry: DataFrame) -> DataFrame:
         F.min_by(F.struct("transcript_file", "type", "timestamp", "git_branch", "is_meta", "summary", "content", "project_root"), F.struct("received_at", F.xxhash64("content"))).alias("e")
     )
     e = once.select("session_id", F.col("byte_offset").alias("pos"), "e.*")
-    v = F.try_parse_json("content")
-    e = e.withColumn("blocks_v", F.when(F.startswith("content", F.lit("[")), F.expr("try_variant_get(try_parse_json(content), '$', 'array<variant>')")))
+    # The parser takes the first value and ignores what follows, so the end is looked at as well.
+    e = e.withColumn("blocks_v", F.when(F.startswith("content", F.lit("[")) & F.rtrim("content").endswith("]"), F.expr("try_variant_get(try_parse_json(content), '$', 'array<variant>')")))
     empty = F.lit("")
     return e.select(
         F.col("transcript_file").alias("path"),
