@@ -45,8 +45,8 @@ def message_lines(entry: DataFrame) -> DataFrame:
         kind.alias("kind"),
         F.try_to_timestamp("timestamp").alias("instant"),
         (~F.coalesce("is_meta", F.lit(False))).alias("own"),
-        # Only what may be a block list is parsed.
-        F.when((assistant | user) & F.ltrim("content").startswith("["), F.try_parse_json("content")).alias("json"),
+        # Only what may be a block list is parsed; the parser itself ignores what follows the first value.
+        F.when((assistant | user) & F.ltrim("content").startswith("[") & F.rtrim("content").endswith("]"), F.try_parse_json("content")).alias("json"),
     )
     blocks = F.expr("try_variant_get(json, '$', 'array<variant>')")
     lines = lines.withColumn("blocks", blocks)

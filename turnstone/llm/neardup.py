@@ -40,7 +40,7 @@ WORDS = 3
 LEAST_WORDS = 30
 BITS = 128
 #: Buckets of the frequency table that orders runs: a fixed size, whatever the data.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 #: Members up to which one task searches a shard.
 SHARD = 2000
 #: Members up to which a shard is so small that its pairs are counted instead of searched by a tree.
@@ -193,12 +193,12 @@ def text_sets(texts: DataFrame, id_col: str, text_col: str, words: int, least: i
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """How often runs of each bucket occur, over all texts: BUCKETS counters, 4 MB.
+    """How often runs of each bucket occur, over all texts: BUCKETS counters, 16 MB.
 
     The table only orders the runs (any order is exact, a rare-first one is
     fast). Tasks count into tables of that size; blocks of them are added up.
     """
-    block = 1 << 14
+    block = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -206,20 +206,18 @@ def frequencies(sets: DataFrame) -> np.ndarray:
             for v in batch.column(0).to_pylist():
                 np.add.at(total, (unpack_runs(v) % _U(BUCKETS)).astype(np.int64), 1)
         if total.any():
-            small = np.minimum(total, 1 << 31).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BUCKETS // block), pa.int32()), pa.array([x.tobytes() for x in small.reshape(-1, block)], pa.binary())], names=["block", "counts"]
-            )
+            small = np.minimum(total, 255).astype(np.uint8).reshape(-1, block)  # what is common in one task is common
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(small)), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], names=["block", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, np.uint64)
         for v in pdf["counts"]:
-            total += np.frombuffer(v, np.uint32)
+            total += np.frombuffer(v, np.uint8)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     parts = sets.select("runs").mapInArrow(count, "block int, counts binary")
     out = np.zeros(BUCKETS, np.uint32)
-    for r in parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 64 rows of 64 KB
+    for r in parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 64 rows of 256 KB
         out[r.block * block : (r.block + 1) * block] = np.frombuffer(r.counts, np.uint32)
     return out
 
@@ -426,7 +424,7 @@ def divide(shards: DataFrame, points: DataFrame, scratch: Scratch, limit: int, t
 class Tree:
     """A vantage-point tree over sketches with the size of each set."""
 
-    LEAF = 12
+    LEAF = 32
 
     def __init__(self, sketches: np.ndarray, n: np.ndarray, t: float) -> None:
         self.sk, self.n, self.ratio, self.t = sketches, n, (1 - t) / (1 + t), t
@@ -442,9 +440,17 @@ class Tree:
         return j[(d <= self.ratio * (self.n[j] + self.n[i]) + 1e-9) & (lo >= self.t * hi - 1e-9)]
 
     def _each(self, own: np.ndarray, guests: np.ndarray) -> Iterator[tuple[int, int]]:
-        for x, i in enumerate(own.tolist()):
-            for j in self._close(i, np.concatenate([own[x + 1 :], guests])).tolist():
-                yield i, j
+        """All pairs of a leaf, in blocks of its members."""
+        every = np.concatenate([own, guests])
+        for lo in range(0, len(own), self.LEAF):
+            part = own[lo : lo + self.LEAF]
+            d = np.bitwise_count(self.sk[part][:, None, :] ^ self.sk[every][None, :, :]).sum(2)
+            self.visited += d.size
+            x, y = self.n[part][:, None], self.n[every][None, :]
+            near = (d <= self.ratio * (x + y) + 1e-9) & (np.minimum(x, y) >= self.t * np.maximum(x, y) - 1e-9)
+            near &= np.arange(len(every))[None, :] > np.arange(lo, lo + len(part))[:, None]
+            i, j = np.nonzero(near)
+            yield from zip(part[i].tolist(), every[j].tolist())
 
     def pairs(self, own: np.ndarray, guests: np.ndarray) -> Iterator[tuple[int, int]]:
         """Pairs of two members of ``own``, or of one and a guest, that may be similar.
@@ -482,6 +488,10 @@ def tree_pairs(sketches: list[bytes], n: list[int], t: float) -> Iterator[tuple[
     visit the tree of the shorter ones as guests, folded.
     """
     size, sizes = np.array([len(s) for s in sketches]), np.array(n)
+    if len(set(size.tolist())) == 1 and len(n) <= Tree.LEAF:
+        tree = Tree(np.frombuffer(b"".join(sketches), _U).reshape(len(n), -1), sizes, t)
+        yield from tree._each(np.arange(len(n)), np.zeros(0, np.int64))
+        return
     for length in np.unique(size).tolist():
         own, guests = np.flatnonzero(size == length), np.flatnonzero(size == 2 * length)
         if len(own) + len(guests) < 2:
