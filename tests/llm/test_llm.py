@@ -140,6 +140,25 @@ def test_tree_prunes_and_loses_nothing():
     assert true <= near and len(near) < 3 * len(true)
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 16])
+def test_division_loses_nothing(spark, rounds):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(20):
+        base = np.unique(r.integers(0, 1 << 40, 150).astype(np.uint64))
+        sets += [np.unique(np.concatenate([base[k:], r.integers(0, 1 << 40, k).astype(np.uint64)])) for k in range(5)]
+    points = spark.createDataFrame([(i, len(s), bytearray(neardup.sketch(s))) for i, s in enumerate(sets)], "cls long, n int, sketch binary")
+    parts = neardup.divide(points.selectExpr("7L as shard", "cls"), points, Scratch(spark, "t"), 60, 0.97, rounds).distinct().collect()
+    together = {}
+    for x in parts:
+        together.setdefault(x.shard, []).append(x.cls)
+    got = {p for members in together.values() for p in itertools.combinations(sorted(members), 2)}
+    true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.97 * len(np.union1d(sets[i], sets[j]))}
+    assert true and true <= got
+
+
 # --- 4 personal details
 
 

@@ -386,8 +386,9 @@ def divide(shards: DataFrame, points: DataFrame, scratch: Scratch, limit: int, t
     vantage point and the median distance mu as radius. Members within mu go
     inside, the others outside; an outer member goes inside as well if a similar
     inner one could exist, d <= mu + radius(n), n runs allowing no partner
-    farther than (1-t)/(1+t) * (n + n/t). What has not shrunk is compared in
-    pairs of blocks of ``limit`` members. Yields (shard, cls), no pair lost.
+    farther than (1-t)/(1+t) * (n + n/t). What has not shrunk, and what is still
+    large after the last round, is compared in pairs of blocks of ``limit``
+    members. Yields (shard, cls), no pair lost.
     """
     widest = (1 - t) / (1 + t) * (1 + 1 / t)
     done: list[DataFrame] = []
@@ -415,6 +416,8 @@ def divide(shards: DataFrame, points: DataFrame, scratch: Scratch, limit: int, t
         both = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1)))
         done.append(both.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "cls"))
         live = child.where(~stuck).select("shard", "cls")
+    else:
+        done.append(live)  # the small parts of the last round, the large ones are blocks
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
