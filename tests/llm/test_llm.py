@@ -181,6 +181,18 @@ def test_personal(spark):
     assert "[ADDRESS], Town" in out[100] and "git@merge.line" in out[100]
 
 
+def test_numbers_known_elsewhere(spark):
+    rows = [
+        (1, "You can call +44 20 7946 0123 or read it."), (2, "Reach me on 020 7946 0555 if it fails."), (3, "Reach me on +1 209 555 0112 if it fails."), (4, "Reach me on +1 209 555 0113 if it fails."),
+        (5, "Old sheet row zeta 020 7946 0555 gamma tail."), (6, "Passport 123-45-6789 is mine. SSN 123-45-6789"), (7, "Blue line beta 123-45-6789 ends there."), (8, "Sum of parts 7731-4420-991 differs."),
+    ]
+    texts = spark.createDataFrame(rows, "id long, content string")
+    names = spark.createDataFrame([], "name_part string, part_kind string")
+    found = {(x.id, x.kind, x.found) for x in pii.find_personal(texts, names, Scratch(spark, "t")).collect()}
+    assert {(2, "phone", "020 7946 0555"), (5, "phone", "020 7946 0555"), (7, "id_number", "123-45-6789")} <= found
+    assert not [x for x in found if x[0] == 8]
+
+
 # --- 6 encoding
 
 EDGES = ["", "  ", "a  b", "it's we'll I'M ''s 's 's' \n's x'red 'relax don't", "　　日本 語", "1st ²½ ⅷ", "a\n\n\nb", "trailing   ", "é́x", "'", "\r\n\r\n  y", "\x85a \x1cb", "😀" * 9, "a" * 700 + "b" * 900, "日本" * 700]

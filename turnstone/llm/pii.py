@@ -7,10 +7,11 @@
    together, numbers with a country code, numbers beside the words that name
    them, unmistakable addresses.
 3. Spark builds the bipartite graph of lexical patterns (the words before, after
-   and around a candidate) and instances (its normalised text or, for numbers,
-   its shape) and scores both in turns: a pattern by the confidence of its
-   instances, an instance by its patterns. Confident patterns thereby extract
-   instances that no list has, name parts learnt this way extract more.
+   and around a candidate) and instances (the parts of a name, the digits and the
+   shape of a number) and scores both in turns: a pattern by the confidence of
+   its candidates, an instance by its patterns. Confident patterns thereby
+   extract instances that no list has; name parts, numbers and shapes of numbers
+   learnt this way extract more.
 4. Candidates of sufficient confidence are results; of overlapping ones the
    better stays.
 """
@@ -33,6 +34,8 @@ from turnstone.session import Scratch
 #: Confidence from which a candidate is a result, and rounds of scoring.
 ACCEPT = 0.3
 ROUNDS = 2
+#: Kinds whose instances are numbers.
+NUMBERS = ("phone", "id_number")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # --- shapes -----------------------------------------------------------------
@@ -214,12 +217,13 @@ def _parts(name: str) -> list[str]:
 
 
 def find_candidates(texts: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """One row per candidate: (id, kind, a, b, found, seed, patterns, parts).
+    """One row per candidate: (id, kind, a, b, found, seed, patterns, parts, number, shape).
 
+    ``number`` and ``shape`` are hashes of the letters and digits of a number and of its shape, null for other kinds.
     Patterns are hashes of the words around; their last two bits tell the side: 0 before, 1 after, 2 both.
     """
     kind = texts.schema[id_col].dataType.simpleString()
-    names = [id_col, "kind", "a", "b", "found", "seed", "patterns", "parts"]
+    names = [id_col, "kind", "a", "b", "found", "seed", "patterns", "parts", "number", "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,12 +233,14 @@ def find_candidates(texts: DataFrame, id_col: str = "id", text_col: str = "conte
                     continue
                 for k, a, b, found, instance, seed in candidates(text):
                     patterns = [_hash(f"{k}{side}{words}") & ~3 | side for side, words in _around(text, a, b)]
-                    rows.append((key, k, a, b, found, seed, patterns, _parts(found) if k == "name" else []))
+                    number = k in NUMBERS
+                    nodes = (_hash(k + re.sub(r"[\W_]", "", found)), _hash(instance)) if number else (None, None)
+                    rows.append((key, k, a, b, found, seed, patterns, _parts(found) if k == "name" else [], *nodes))
             if rows:
-                types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+                types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    schema = f"`{id_col}` {kind}, kind string, a int, b int, found string, seed double, patterns array<bigint>, parts array<string>"
+    schema = f"`{id_col}` {kind}, kind string, a int, b int, found string, seed double, patterns array<bigint>, parts array<string>, number bigint, shape bigint"
     return texts.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -251,6 +257,12 @@ def score(found: DataFrame, names: DataFrame, scratch: Scratch, rounds: int = RO
     a candidate takes the best of its patterns, and a name also what its parts
     are worth: the share of a part's candidates that are names. A given and a
     family part that are both listed or learnt make a name in any context.
+    Then instances pass on what their candidates are worth: a number that is
+    known in one place is known in all, and a shape gives the share of its
+    candidates that are known, except in a context that is met elsewhere and
+    never tells of a detail. The rounds are few on purpose: a mean feeds back
+    on itself, so that without an end one seed would make a detail of
+    everything that shares a pattern with it.
     Aggregations combine before the shuffle, so a pattern that a third of the
     candidates share is one row per task.
     """
@@ -259,16 +271,18 @@ def score(found: DataFrame, names: DataFrame, scratch: Scratch, rounds: int = RO
     known = parts.join(listed, "part").groupBy("cid").agg(F.count("*").alias("k"), F.max("given").alias("g"), F.max("family").alias("f"))
     pair = (F.col("k") >= 2) & (F.col("k") >= F.size(F.array_distinct("parts"))) & F.col("g") & F.col("f")
     start = found.join(known, "cid", "left").withColumn("seed", F.when(F.coalesce(pair, F.lit(False)), 0.95).otherwise(F.col("seed"))).withColumn("m", F.greatest("seed", F.lit(0.0)))
-    live = scratch.save(start.select("cid", "kind", "seed", "m"), "confidence-0")
+    live = scratch.save(start.select("cid", "kind", "seed", "m", "number", "shape"), "confidence-0")
     edges = found.select("cid", F.explode("patterns").alias("p"))
     # A pattern met once cannot tell anything of another candidate.
     common = edges.groupBy("p").count().where("count > 1").select("p")
     edges = scratch.save(edges.join(common, "p"), "edges")
     for k in range(1, rounds + 1):
         pattern = edges.join(live.select("cid", "m"), "cid").groupBy("p").agg((F.sum("m") / (F.count("*") + 1)).alias("c"))
-        asked = edges.join(live.where("seed < 0").select("cid"), "cid").join(pattern.where("c > 0.05"), "p")
+        # Of weak patterns only those on both sides of a number are asked for, as doubts.
+        weak = (F.col("c") <= 0.05) & (F.col("p").bitwiseAND(3) == 2)
+        asked = edges.join(live.where("seed < 0").select("cid", "kind"), "cid").join(pattern, "p").where((F.col("c") > 0.05) | (weak & F.col("kind").isin(*NUMBERS)))
         best = [F.coalesce(F.max(F.when(F.col("p").bitwiseAND(3) == side, F.col("c"))), F.lit(0.0)).alias(n) for side, n in enumerate(("l", "r", "b"))]
-        context = asked.groupBy("cid").agg(*best)
+        context = asked.groupBy("cid").agg(*best, F.max(weak).alias("doubt"))
         worth = parts.join(live.select("cid", "m"), "cid").groupBy("part").agg((F.sum("m") / (F.count("*") + 0.5)).alias("w"))
         own = parts.join(worth.where("w > 0.3"), "part").groupBy("cid").agg(F.count("*").alias("good"), F.min("w").alias("w"), F.max("w").alias("most"))
         number = parts.groupBy("cid").agg(F.count("*").alias("all"))
@@ -282,10 +296,26 @@ def score(found: DataFrame, names: DataFrame, scratch: Scratch, rounds: int = RO
             .when(F.col("kind") == "name", F.greatest(sides + F.when(sides > 0.12, F.coalesce("half", F.lit(0.0))).otherwise(0.0), F.col("w")))
             .otherwise(F.greatest("l", "r", "b", F.lit(0.0)))
         )
-        live = scratch.save(seen.select("cid", "kind", "seed", m.alias("m")), f"confidence-{k}")
+        told = scratch.save(seen.select("cid", "kind", "seed", m.alias("m"), "number", "shape", F.coalesce("doubt", F.lit(False)).alias("doubt")), f"context-{k}")
+        live = scratch.save(_instances(told), f"confidence-{k}")
     return found.drop("seed").join(live.select("cid", "seed", "m"), "cid")
 
 
+def _instances(told: DataFrame) -> DataFrame:
+    """Candidates with what their number and its shape are worth; names have had the worth of their parts.
+
+    Only what is known is joined back: few shapes, and numbers that are details.
+    """
+    columns = ["cid", "kind", "seed", "m", "number", "shape"]
+    of_number = F.col("kind").isin(*NUMBERS)
+    numbers = told.where(of_number)
+    known = numbers.groupBy("number").agg(F.max("m").alias("known")).where(F.col("known") >= ACCEPT)
+    share = numbers.groupBy("shape").agg((F.sum("m") / (F.count("*") + 0.5)).alias("share")).where("share > 0.3")
+    worth = F.greatest("m", "known", F.when(~F.col("doubt"), F.col("share")))
+    passed = numbers.join(known, "number", "left").join(share, "shape", "left").withColumn("m", F.when(F.col("seed") >= 0, F.col("seed")).otherwise(worth))
+    return told.where(~of_number).select(*columns).unionByName(passed.select(*columns))
+
+
 def find_personal(
     texts: DataFrame, names: DataFrame, scratch: Scratch, id_col: str = "id", text_col: str = "content", accept: float = ACCEPT
 ) -> DataFrame:
