@@ -193,6 +193,13 @@ def test_numbers_known_elsewhere(spark):
     assert not [x for x in found if x[0] == 8]
 
 
+def test_numbers_in_a_row():
+    ids = [f"{123 + k}-45-{6789 - k}" for k in range(9)]
+    for sep in (" ", "  ", ", "):
+        assert {x[3] for x in pii.candidates("SSN " + sep.join(ids) + " end") if x[0] == "id_number"} >= set(ids)
+    assert not [x for x in pii.candidates("x " + "1" * 40 + " y") if x[0] in pii.NUMBERS]
+
+
 # --- 6 encoding
 
 EDGES = ["", "  ", "a  b", "it's we'll I'M ''s 's 's' \n's x'red 'relax don't", "　　日本 語", "1st ²½ ⅷ", "a\n\n\nb", "trailing   ", "é́x", "'", "\r\n\r\n  y", "\x85a \x1cb", "😀" * 9, "a" * 700 + "b" * 900, "日本" * 700]

@@ -98,16 +98,17 @@ def _anchors() -> ahocorasick.Automaton:
     return a
 
 
-def _windows(places: list[int], before: int, after: int, end: int) -> Iterator[tuple[int, int]]:
-    """Stretches around places in ascending order, joined where they overlap."""
+def _windows(places: list[int] | list[tuple[int, int]], before: int, after: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches around places, or runs from one place to another, in ascending order, joined where they overlap."""
     lo = hi = -1
     for p in places:
-        if lo >= 0 and p - before <= hi:
-            hi = p + after
+        a, b = p if isinstance(p, tuple) else (p, p)
+        if lo >= 0 and a - before <= hi:
+            hi = max(hi, b + after)
             continue
         if lo >= 0:
             yield lo, min(hi, end)
-        lo, hi = max(0, p - before), p + after
+        lo, hi = max(0, a - before), b + after
     if lo >= 0:
         yield lo, min(hi, end)
 
@@ -168,8 +169,9 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, str, str, float]]:
             bare = re.search(r"\s(?:at|AT)\s", s) and not re.search(r"(?i)[\s\[({]dot[\s\])}]", s)
             if m.start() not in taken and "@" not in s and not bare:
                 yield "email", m.start(), m.end(), s, "email", 1.0
-    numbers = [m.start() for m in _DIGITS.finditer(text)]
-    for lo, hi in _windows(numbers, 4, 30, len(text)):
+    # A run of digits holds all of its numbers; what follows it is seen as well, so that no number is cut.
+    numbers = [m.span() for m in _DIGITS.finditer(text)]
+    for lo, hi in _windows(numbers, 4, 4, len(text)):
         for m in PHONE.finditer(text, lo, hi):
             s, a = m.group().rstrip(), m.start()
             if s.startswith("(") and ")" not in s:
@@ -184,8 +186,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, str, str, float]]:
                 continue
             near = text[max(0, a - 40) : a] + " | " + text[a + len(s) : a + len(s) + 30]
             yield "phone", a, a + len(s), s, "phone:" + shape, 1.0 if s.startswith("+") else (0.0 if ID_WORDS.search(near) else -1.0)
-    lettered = [m.start() for m in _LETTERED.finditer(text)]
-    for lo, hi in _windows(sorted(numbers + lettered), 2, 26, len(text)):
+    lettered = [(m.start(), m.start() + 22) for m in _LETTERED.finditer(text)]
+    for lo, hi in _windows(sorted(numbers + lettered), 2, 4, len(text)):
         for m in ID.finditer(text, lo, hi):
             lead = text[max(0, m.start() - 40) : m.start()]
             near = list(ID_WORDS.finditer(lead))
