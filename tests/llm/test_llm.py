@@ -271,3 +271,10 @@ def test_residue(spark):
     found = {x.doc_id: x.reason for x in residue.find_residue(df).collect()}
     assert found == dict(enumerate(CASES.values()))
     assert residue.without_residue(df).count() == len(KEPT)
+
+
+def test_residue_of_any_length():
+    assert residue.verdict("Please enable JavaScript to view this page. " * 120) == "script"
+    assert residue.verdict("Dolor sit magna aliqua amet.\n" * 60) == "filler"
+    assert residue.verdict("The parameter of the index is read once and kept. " * 120) == ""
+    assert residue.verdict("The parameter of the index is read once and kept.\n" * 60) == ""

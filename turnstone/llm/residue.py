@@ -188,7 +188,7 @@ def coverage(own: str) -> tuple[float, str]:
             continue
         # Longest matches, leftmost first.
         spans: list[tuple[int, int, str]] = []
-        for end, (kind, n) in automaton().iter(low) if len(low) < 4000 else ():
+        for end, (kind, n) in automaton().iter(low):
             if kind == "o":
                 continue
             start = end + 1 - n
@@ -242,7 +242,7 @@ def verdict(text: str | None) -> str:
             phrase = True
         if opened and phrase:
             break
-    if not opened and not phrase and not (low.count("\n") < 40 and any(w in low for w in ("dolor", "amet"))):
+    if not opened and not phrase and not any(w in low for w in ("dolor", "amet")):
         return ""
     own = own_text(text)
     if phrase or "dolor" in low or "amet" in low:
