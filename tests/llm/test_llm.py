@@ -230,6 +230,17 @@ def test_encoding(spark, monkeypatch):
     assert sum((x[2].tolist() for x in enc.encode([long])), []) == own.encode_ordinary(long)
 
 
+def test_contraction_at_the_end_of_a_pass(monkeypatch):
+    own, enc = reference(), tokenize.Encoder(tokenize.vocabulary_path())
+    for text in ("don't", "it's", "I'm", "he'd", "we'll", "x'", "a's b's"):
+        for batch in ([text], ["first text", text], [text, ""]):
+            got = list(enc.encode(batch))
+            assert sum((x[2].tolist() for x in got), []) == sum((own.encode_ordinary(t) for t in batch), [])
+    monkeypatch.setattr(tokenize, "_PASS", 64)
+    long = "abc it's " * 40
+    assert sum((x[2].tolist() for x in enc.encode([long])), []) == own.encode_ordinary(long)
+
+
 # --- 7 packing
 
 

@@ -64,12 +64,14 @@ def boundaries(points: np.ndarray) -> np.ndarray:
 
     The divider itself is flagged too; every text is cut on its own.
     """
+    if not len(points):
+        return np.empty(0, bool)
+    # A divider after the last text too, so that the rules see its end as that of any other.
+    points = np.append(points, np.uint32(_LIMIT))
     n = len(points)
     cls = class_table()[points]
     space = cls == SPACE
     start = np.empty(n, bool)
-    if not n:
-        return start
     start[0] = True
     # A change of class opens a piece; inside a run none does.
     np.not_equal(cls[1:], cls[:-1], out=start[1:])
@@ -97,7 +99,7 @@ def boundaries(points: np.ndarray) -> np.ndarray:
             start[end[(cls[end] == LETTER)]] = True
     start |= cls == END
     start[1:] |= cls[:-1] == END
-    return start
+    return start[:-1]
 
 
 class Vocabulary:
