@@ -289,3 +289,35 @@ def test_residue_of_any_length():
     assert residue.verdict("Dolor sit magna aliqua amet.\n" * 60) == "filler"
     assert residue.verdict("The parameter of the index is read once and kept. " * 120) == ""
     assert residue.verdict("The parameter of the index is read once and kept.\n" * 60) == ""
+
+
+#: Wordings chosen after the stems were fixed; none was used to choose stems.
+HELD_OUT = [
+    "Sorry, the page you were looking for could not be found.", "Our server ran into an unexpected problem. Try reloading the page.", "You must be signed in to see this document.",
+    "It looks like JavaScript is switched off. Kindly activate it and reload the page.", "Your connection was reset while the page was loading.", "We could not find the file you requested.",
+    "The database is temporarily offline. Please come back in a few minutes.", "HTTP 401: authentication is required to open this resource.", "Request blocked by the administrator of this network.",
+    "Bitte schalten Sie JavaScript in Ihrem Browser ein, diese Seite benötigt es.", "Votre session a expiré, veuillez vous connecter de nouveau.", "Esta página ya no existe. Volver al inicio.",
+    "该页面暂时无法访问，请稍后再试。", "セッションの有効期限が切れました。もう一度ログインしてください。", "The text for this chapter will follow soon.", "Description to be added.",
+    "Der Inhalt dieser Seite folgt in Kürze.", "Insert your summary text here.", "The host did not respond: connection timed out.", "This document was deleted or you do not have permission to view it.",
+    "Cookies are disabled. You need to allow cookies and scripts to continue.", "The link you followed has expired.", "Too many login attempts. Please try again in 15 minutes.", "Sit amet dolor in magna quis ipsum nulla velit.",
+]
+HELD_OUT_KEPT = [
+    "The login page now shows the right title because the template was fixed.","We changed the timeout of the session cache from 5 to 10 seconds in the watcher.","JavaScript files are bundled by the build and copied to the assets folder of the release.",
+    "The error page was redesigned by the web team and now lists the three newest transcripts.","I enabled cookies in the proxy and measured the latency of the search again.","The request failed because the index was rebuilt at the same time; the second run was fine and the numbers match.",
+    "Maintenance of the old parser costs us a day per week, so I suggest to drop it.","The section on retention was moved to the guide, and the summary lists its columns.",
+]
+
+
+def test_residue_in_other_words():
+    assert sum(residue.verdict(t) != "" for t in HELD_OUT) >= 0.9 * len(HELD_OUT)
+    assert not [t for t in HELD_OUT_KEPT if residue.verdict(t)]
+
+
+def test_residue_with_numbers_and_data():
+    assert residue.verdict("Error 503: Service Temporarily Unavailable. Please try again in a few minutes.") == "error"
+    assert residue.verdict("Access denied. Your request was blocked (035540d).") == "error"
+    assert residue.verdict('Menu\n\n{"error": {"code": 429, "message": "Too many requests, slow down"}}') == "error"
+    assert residue.verdict("2024-01-01T00:00:00Z ERROR [a-b] c_d: access denied") == ""
+    assert residue.verdict("ERROR [queue-worker] request denied, try again later") == ""
+    assert residue.verdict("x" * 5000 + " the page was not found") == ""
+    assert residue.verdict("Sorry, the page you want could not be found. " * 2000) == "error"
