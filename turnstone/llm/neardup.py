@@ -12,14 +12,19 @@ One tree over all texts cannot prune: unrelated texts all lie at about the same
 distance from any vantage point (README, "Near duplicates"). The top level of
 the search therefore routes texts into shards by their rarest runs - two similar
 sets share k runs among the first n - ceil(t*n) + k in any fixed order of runs -
-and vantage-point trees search inside shards; in shards of a few members the
-tree would be a single leaf, so their pairs are just counted, and those that
-share fewer than k runs fall away. A shard too large for a task is
+and vantage-point trees search inside shards. Where a shard has so few pairs of
+like sizes that naming them takes less room than sending sketches to it, the
+pairs are named and counted over all shards, those that share fewer runs than a
+similar pair must fall away, and the rest is searched as a ball around its
+first member. A shard too large for a task is
 partitioned by the distance to a vantage point, texts in the boundary zone going
 to both sides, until the parts are small; a part that does not shrink is
 compared block by block. Pairs that pass the tree are compared exactly, run by run. Every step is exact
 up to collisions of 40-bit hashes within a pair of texts and of the 64-bit
 hashes that stand for whole sets.
+
+What is shuffled by run is packed: a task sends one compressed block of sorted
+columns to each target instead of a row for each run.
 """
 
 from __future__ import annotations
@@ -39,16 +44,21 @@ THRESHOLD = 0.7
 WORDS = 3
 LEAST_WORDS = 30
 BITS = 128
-#: Buckets of the frequency table that orders runs: a fixed size, whatever the data.
-BUCKETS = 1 << 22
+#: Counters of the table that orders runs: a power of two from half the number of runs, within these bounds (one byte each).
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 22, 1 << 27
 #: Members up to which one task searches a shard.
 SHARD = 2000
-#: Members up to which a shard is so small that its pairs are counted instead of searched by a tree.
-SMALL = 8
+#: Members up to which the pairs of a shard are looked at, and pairs of like sizes per member up to which they are named
+#: instead of sending sketches: a pair takes some ten bytes, a sketch some forty.
+SMALL, NAMED = 64, 4
 #: Runs that similar sets must share in their prefixes (fewer for tiny sets); prefixes are longer by as much.
 SHARED = 4
 _PASS = 1 << 20
+#: Runs that one target may get, which bounds the memory of its task.
+_TARGET = 2_000_000
 _U = np.uint64
+#: Bits of a set's short name, by which shards know it; sets with one short name are told apart before the exact comparison.
+_SHORT = _U((1 << 40) - 1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -167,6 +177,24 @@ def needed_runs(least: np.ndarray, most: np.ndarray, t: float) -> np.ndarray:
     return np.maximum(shared_runs(least, t), common - np.maximum(*rest))
 
 
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers byte by byte, compressed; the first is to be ascending and is stored by its steps."""
+    planes = []
+    for i, c in enumerate(columns):
+        c = c.astype(_U)
+        planes.append((np.diff(c, prepend=_U(0)) if i == 0 else c).view(np.uint8).reshape(-1, 8).T.tobytes())
+    raw = b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_columns(packed: bytes, columns: int) -> list[np.ndarray]:
+    size = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd"), np.uint8).reshape(columns, 8, -1) if size else np.zeros((columns, 8, 0), np.uint8)
+    out = [np.ascontiguousarray(p.T).view(_U).ravel() for p in planes]
+    out[0] = np.cumsum(out[0], dtype=_U)
+    return out
+
+
 def text_sets(texts: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
     """(id, cls, n, sketch, runs): one row per text with enough words; ``cls`` is equal for equal sets."""
     kind = texts.schema[id_col].dataType.simpleString()
@@ -192,169 +220,249 @@ def text_sets(texts: DataFrame, id_col: str, text_col: str, words: int, least: i
     )
 
 
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """How often runs of each bucket occur, over all texts: BUCKETS counters, 16 MB.
+def _counters(values: DataFrame, places, size: int, names: str = "block int, counts binary") -> np.ndarray:  # noqa: ANN001
+    """How often each of ``size`` places occurs, as eighths of its logarithm (0 never, 8 once, from 9 on more often).
 
-    The table only orders the runs (any order is exact, a rare-first one is
-    fast). Tasks count into tables of that size; blocks of them are added up.
+    ``places`` gives the places of a batch. Tasks send what they counted in
+    compressed blocks, blocks are added up in tasks of their own, and the
+    driver gets ``size`` bytes.
     """
-    block = 1 << 16
+    block = min(size, 1 << 18)
+
+    def blocks(at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        where, n = np.unique(at, return_counts=True)
+        cut = np.searchsorted(where, np.arange(0, size + block, block))
+        some = np.flatnonzero(np.diff(cut))
+        if len(some):
+            packed = [pack_columns(where[cut[b] : cut[b + 1]] - b * block, n[cut[b] : cut[b + 1]]) for b in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
         for batch in batches:
-            for v in batch.column(0).to_pylist():
-                np.add.at(total, (unpack_runs(v) % _U(BUCKETS)).astype(np.int64), 1)
-        if total.any():
-            small = np.minimum(total, 255).astype(np.uint8).reshape(-1, block)  # what is common in one task is common
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(small)), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], names=["block", "counts"])
+            held.append(places(batch, seen))
+            if sum(map(len, held)) > 4_000_000:
+                yield from blocks(np.concatenate(held))
+                held = []
+        if held:
+            yield from blocks(np.concatenate(held))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block, np.uint64)
+        total = np.zeros(block, np.int64)
         for v in pdf["counts"]:
-            total += np.frombuffer(v, np.uint8)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
-
-    parts = sets.select("runs").mapInArrow(count, "block int, counts binary")
-    out = np.zeros(BUCKETS, np.uint32)
-    for r in parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 64 rows of 256 KB
-        out[r.block * block : (r.block + 1) * block] = np.frombuffer(r.counts, np.uint32)
+            where, n = unpack_columns(v, 2)
+            total[where.astype(np.int64)] += n.astype(np.int64)
+        logs = np.where(total > 0, np.minimum(8 * np.log2(np.maximum(total, 1)) + 8, 255), 0).astype(np.uint8)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [pa.compress(logs.tobytes(), codec="zstd", asbytes=True)]})
+
+    out = np.zeros(size, np.uint8)
+    for r in values.mapInArrow(count, names).groupBy("block").applyInPandas(add, names).collect():
+        out[r.block * block : (r.block + 1) * block] = np.frombuffer(pa.decompress(r.counts, decompressed_size=block, codec="zstd"), np.uint8)
     return out
 
 
-def _keys(sets: DataFrame, table: np.ndarray, t: float, hot: int) -> DataFrame:
-    """(key, cls, n, hot): the rarest runs of every set. Copies inside a task are passed over."""
-    shared = sets.sparkSession.sparkContext.broadcast(table)  # of fixed size
+def _power(n: int, least: int, most: int) -> int:
+    return min(most, max(least, 1 << max(0, n - 1).bit_length()))
+
+
+def frequencies(sets: DataFrame, runs: int) -> np.ndarray:
+    """How often runs occur over all texts (copies within a task counted once), by hash.
+
+    The table orders the runs: any order is exact, a rare-first one is fast.
+    Different runs may share a counter, which only makes them seem more
+    frequent. So a run that was counted once is in one set and leads nowhere.
+    """
+    size = _power(runs // 2, LEAST_COUNTERS, MOST_COUNTERS)
+
+    def places(batch: pa.RecordBatch, seen: set[int]) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if c not in seen:
+                if len(seen) < 1_000_000:
+                    seen.add(c)
+                out.append((unpack_runs(v) % _U(size)).astype(np.int64))
+        return np.concatenate(out)
+
+    return _counters(sets.select("cls", "runs"), places, size)
+
+
+def _keys(sets: DataFrame, table: np.ndarray, t: float, hot: int, targets: int) -> DataFrame:
+    """The rarest runs of every set as (target, packed) blocks, or (shard, short) rows for runs that are common everywhere.
+
+    Runs that were counted once are left out. Copies inside a task are passed over.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(table)  # at most MOST_COUNTERS bytes
+    often = 8 * math.log2(hot) + 8
+
+    def blocks(names: list[int], sizes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = [len(k) for k in keys]
+        key, at = np.concatenate(keys), np.repeat(np.arange(len(keys)), lengths)
+        order = np.argsort(key % _U(targets) << _U(40) | key, kind="stable")  # keys have 40 bits, targets fewer than 2^24
+        key, at = key[order], at[order]
+        cut = np.searchsorted((key % _U(targets)).astype(np.int64), np.arange(targets + 1))
+        short, size = np.array(names, np.int64).view(_U) & _SHORT, np.array(sizes, _U)
+        some, packed, tables = np.flatnonzero(np.diff(cut)), [], []
+        for b in some.tolist():
+            members, own = np.unique(at[cut[b] : cut[b + 1]], return_inverse=True)
+            by_name = np.argsort(short[members], kind="stable")
+            place = np.empty(len(members), np.int64)
+            place[by_name] = np.arange(len(members))
+            packed.append(pack_columns(key[cut[b] : cut[b + 1]], place[own]))
+            tables.append(pack_columns(short[members][by_name], size[members][by_name]))
+        none = pa.nulls(len(some), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary()), pa.array(tables, pa.binary()), none, none], names=["target", "packed", "members", "shard", "short"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
+        names: list[int] = []
+        sizes: list[int] = []
+        keys: list[np.ndarray] = []
         for batch in batches:
-            keys, cls, ns, often = [], [], [], []
+            common = [(np.zeros(0, _U), np.zeros(0, np.int64))]
             for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if c in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
                 runs = unpack_runs(raw)
-                df = counts[(runs % _U(BUCKETS)).astype(np.int64)]
+                df = counts[(runs % _U(len(counts))).astype(np.int64)]
                 order = np.lexsort((runs, df))[: prefix_length(len(runs), t)]
-                keys.append(runs[order])
-                often.append(df[order] > hot)
-                cls.append(np.full(len(order), c))
-                ns.append(np.full(len(order), len(runs), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(often))],
-                    names=["key", "cls", "n", "hot"],
-                )
-
-    return sets.select("cls", "runs").mapInArrow(run, "key bigint, cls bigint, n int, hot boolean")
-
-
-def _shards(keys: DataFrame, limit: int, small: int, t: float) -> DataFrame:
-    """What sets that share keys: (shard, a, b, seen, need).
-
-    Keys with up to ``small`` members give their pairs (a, b) of like sizes,
-    ``seen`` times, ``need`` being the number of shared keys of a similar pair;
-    ``shard`` is null. Keys with more members give a shard with a row for each
-    member, ``b`` null; equal lists of members make one shard. Sorted
-    partitions are read as a stream; a key beyond ``limit`` members is passed
-    on without being held. A similar pair either shares a larger shard or is
-    counted often enough: nothing is lost.
+                own, f = runs[order], df[order]
+                if (f > often).any():
+                    common.append((own[f > often], np.full(int((f > often).sum()), c & int(_SHORT))))
+                own = own[(f > 8) & (f <= often)]
+                if len(own):
+                    names.append(c)
+                    sizes.append(len(runs))
+                    keys.append(own)
+            if len(common) > 1:
+                k, c = (np.concatenate(x) for x in zip(*common))
+                none = pa.nulls(len(k), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), none, none, pa.array(k.view(np.int64)), pa.array(c)], names=["target", "packed", "members", "shard", "short"])
+            if sum(map(len, keys)) > 2_000_000:
+                yield blocks(names, sizes, keys)
+                names, sizes, keys = [], [], []
+        if keys:
+            yield blocks(names, sizes, keys)
+
+    return sets.select("cls", "runs").mapInArrow(run, "target int, packed binary, members binary, shard bigint, short bigint")
+
+
+def _shards(keys: DataFrame, small: int, t: float, targets: int) -> DataFrame:
+    """What sets that share keys: (target, pairs, shard, short).
+
+    A key with up to ``small`` members and few pairs of like sizes gives these
+    pairs, in packed blocks (a, b, how often seen, number of shared keys of a
+    similar pair) for ``targets`` targets. Any other key gives a shard with a
+    row for each member; equal lists of members make one shard. A similar pair
+    either shares a shard or is counted often enough: nothing is lost. A target
+    has ``_TARGET`` runs on average, and a run that more than ``hot`` sets have
+    is not among them, so a task holds one target at a time.
     """
-    ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
-    names = ["shard", "a", "b", "seen", "need"]
+    names = ["target", "pairs", "shard", "short"]
+    ordered = keys.repartition("target").sortWithinPartitions("target")
+
+    def pairs_of(c: np.ndarray, n: np.ndarray, lo: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """(lists that become shards, pairs of the others) of lists of one size."""
+        i, j = np.triu_indices(size, 1)
+        large, out = [], []
+        for k in range(0, len(lo), max(1, 1_000_000 // len(i))):
+            at = lo[k : k + max(1, 1_000_000 // len(i)), None] + np.arange(size)
+            nn = n[at]
+            least, most = np.minimum(nn[:, i], nn[:, j]), np.maximum(nn[:, i], nn[:, j])
+            like = least >= t * most - 1e-9
+            many = like.sum(1) > NAMED * size
+            large.append(at[many, 0])
+            like[many] = False
+            row, col = np.nonzero(like)
+            cc = c[at]
+            out.append((cc[row, i[col]], cc[row, j[col]], needed_runs(least[row, col], most[row, col], t)))
+        return np.concatenate(large), out
+
+    def digest(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((c, k))
+        k, c, n = k[order], c[order], n[order]
+        own = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])  # copies from other tasks
+        k, c, n = k[own], c[own], n[own].astype(np.int64)
+        lo = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        m = np.diff(np.append(lo, len(k)))
+        found, large = [], [lo[m > small]]
+        for size in np.unique(m[(m > 1) & (m <= small)]).tolist():
+            more, pairs = pairs_of(c, n, lo[m == size], size)
+            large.append(more)
+            found += pairs
+        if found:
+            a, b, need = (np.concatenate(x) for x in zip(*found))
+            target = (_mix(a ^ _mix(b)) % _U(targets)).astype(np.int64)
+            order = np.lexsort((b, a, target))
+            a, b, need, target = a[order], b[order], need[order], target[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            seen = np.diff(np.append(first, len(a)))
+            a, b, need, target = a[first], b[first], np.minimum(need[first], 65535), target[first]
+            cut = np.searchsorted(target, np.arange(targets + 1))
+            some = np.flatnonzero(np.diff(cut))
+            packed = [pack_columns(*(x[cut[g] : cut[g + 1]] for x in (a, b, seen, need))) for g in some.tolist()]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary()), none, none], names=names)
+        length = dict(zip(lo.tolist(), m.tolist()))
+        lists: dict[int, np.ndarray] = {}
+        for at in np.concatenate(large).tolist():
+            members = c[at : at + length[at]]
+            lists.setdefault(set_id(members), members)
+        if lists:
+            g = np.repeat(np.fromiter(lists, np.int64, len(lists)), [len(x) for x in lists.values()])
+            none = pa.nulls(len(g), pa.int32())
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(g), pa.binary()), pa.array(g), pa.array(np.concatenate(list(lists.values())).astype(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: set[int] = set()
-        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        members: list[tuple[np.ndarray, np.ndarray]] = []
-        pending = 0
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        streaming = None
-
-        def digest(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
-            """All keys of k are complete and ascending."""
-            nonlocal pending
-            own = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])  # copies from other tasks
-            k, c, n = k[own], c[own], n[own]
-            lo = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            m = np.diff(np.append(lo, len(k)))
-            for size in range(2, small + 1):
-                at = lo[m == size]
-                if not len(at):
-                    continue
-                cc, nn = c[at[:, None] + np.arange(size)], n[at[:, None] + np.arange(size)]
-                for i in range(size):
-                    for j in range(i + 1, size):
-                        least, most = np.minimum(nn[:, i], nn[:, j]), np.maximum(nn[:, i], nn[:, j])
-                        like = least >= t * most - 1e-9
-                        if like.any():
-                            pairs.append((cc[like, i], cc[like, j], needed_runs(least[like], most[like], t)))
-                            pending += int(like.sum())
-            for a, size in zip(lo[m > small].tolist(), m[m > small].tolist()):
-                own = c[a : a + size]
-                gid = set_id(own.view(_U))
-                if gid not in lists:
-                    if len(lists) < 1_000_000:
-                        lists.add(gid)
-                    members.append((np.full(size, gid), own))
-                    pending += size
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            nonlocal pending
-            pending = 0
-            if pairs:
-                a, b, need = (np.concatenate(x) for x in zip(*pairs))
-                pairs.clear()
-                order = np.lexsort((b, a))
-                a, b, need = a[order], b[order], need[order]
-                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                seen = np.diff(np.append(first, len(a)))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.array(a[first]), pa.array(b[first]), pa.array(seen), pa.array(need[first])], names=names)
-            if members:
-                g, c = (np.concatenate(x) for x in zip(*members))
-                members.clear()
-                none = pa.nulls(len(g), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), none, none, none], names=names)
+        current, held = None, []
+        for batch in batches:
+            for target, packed, members in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if target != current and held:
+                    yield from digest(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                current = target
+                key, at = unpack_columns(packed, 2)
+                short, n = unpack_columns(members, 2)
+                held.append((key, short[at.astype(np.int64)], n[at.astype(np.int64)]))
+        if held:
+            yield from digest(*(np.concatenate(x) for x in zip(*held)))
+
+    return ordered.select("target", "packed", "members").mapInArrow(run, "target int, pairs binary, shard bigint, short bigint")
+
+
+def _counted(shared: DataFrame) -> DataFrame:
+    """(a, b), short names, of the pairs that were seen often enough over all targets."""
+    ordered = shared.repartition("target").sortWithinPartitions("target")
+
+    def digest(a: np.ndarray, b: np.ndarray, seen: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, a))
+        a, b, seen, need = a[order], b[order], seen[order].astype(np.int64), need[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        # Of sets with one short name the least need counts.
+        ok = first[np.add.reduceat(seen, first) >= np.minimum.reduceat(need, first)]
+        return pa.RecordBatch.from_arrays([pa.array(a[ok].astype(np.int64)), pa.array(b[ok].astype(np.int64))], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
         for batch in batches:
-            k, c, n = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest))
-            if not len(k):
-                continue
-            if streaming is not None:
-                end = int(np.searchsorted(k, streaming, side="right"))
-                if end:
-                    members.append((k[:end], c[:end]))
-                    pending += end
-                    k, c, n = k[end:], c[end:], n[end:]
-                if not len(k):
-                    rest = [k, c, n]
-                    yield from emit()
-                    continue
-                streaming = None
-            last = int(np.searchsorted(k, k[-1], side="left"))
-            if last:
-                digest(k[:last], c[:last], n[:last])
-            rest = [k[last:], c[last:], n[last:]]
-            if len(rest[0]) > limit:
-                streaming = rest[0][0]
-                members.append((rest[0], rest[1]))
-                pending += len(rest[0])
-                rest = [x[:0] for x in rest]
-            if pending > 2_000_000:
-                yield from emit()
-        if len(rest[0]):
-            digest(*rest)
-        yield from emit()
-
-    return ordered.select("key", "cls", "n").mapInArrow(run, "shard bigint, a bigint, b bigint, seen bigint, need bigint")
+            for target, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if target != current and held:
+                    yield digest(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                current = target
+                held.append(unpack_columns(packed, 4))
+        if held:
+            yield digest(*(np.concatenate(x) for x in zip(*held)))
+
+    return ordered.select("target", "pairs").mapInArrow(run, "a bigint, b bigint")
 
 
 def _close_pairs(pairs: DataFrame, sketches: DataFrame, t: float) -> DataFrame:
-    """The pairs whose sketches lie within the radius of a similar pair."""
-    one = sketches.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
-    two = sketches.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    """(a, b), a < b: classes of the pairs of short names whose sketches lie in the ball of a similar pair around the first."""
+    one = sketches.select(F.col("short").alias("a"), F.col("cls").alias("c_a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    two = sketches.select(F.col("short").alias("b"), F.col("cls").alias("c_b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
 
     @F.pandas_udf("int")
     def hamming(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -365,7 +473,8 @@ def _close_pairs(pairs: DataFrame, sketches: DataFrame, t: float) -> DataFrame:
         return pd.Series(out, dtype="int32")
 
     near = F.lit((1 - t) / (1 + t)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-9)
-    return pairs.join(one, "a").join(two, "b").where(hamming("x", "y") <= near).select("a", "b")
+    found = pairs.join(one, "a").join(two, "b").where(hamming("x", "y") <= near)
+    return found.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
 
 
 def _distances(rows: DataFrame) -> DataFrame:
@@ -569,66 +678,61 @@ def similar_sets(
     """
     if not 0.5 < t <= 1:
         raise ValueError("the threshold must be above one half")
-    sets = scratch.save(text_sets(texts, id_col, text_col, words, least), "sets")
-    table = frequencies(sets)
-    keys = _keys(sets, table, t, hot=50 * limit)
-    shared = scratch.save(_shards(keys.where("not hot"), limit, small, t), "shared")
+    sets = scratch.save(text_sets(texts, id_col, text_col, words, least).withColumn("short", F.col("cls").bitwiseAND(int(_SHORT))), "sets")
+    runs = sets.agg(F.sum("n")).first()[0] or 0
+    targets = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(runs / _TARGET))
+    keys = _keys(sets, frequencies(sets, runs), t, 50 * limit, targets)
+    # Runs that are common everywhere are not brought together by key: they are large shards from the start.
+    hot = scratch.save(keys.where("target is null").select("shard", "short"), "hot")
+    shared = scratch.save(_shards(keys.where("target is not null"), small, t, targets), "shared")
     scratch.release()
-    # Keys that are common everywhere are not brought together by key: they are large shards from the start.
-    hot = keys.where("hot").select(F.col("key").alias("shard"), "cls")
-    large = shared.where("b is null").select("shard", F.col("a").alias("cls")).unionByName(hot)
-    large = scratch.save(large.distinct(), "large")
+    large = shared.where("target is null").select("shard", "short").unionByName(hot)
     size = large.groupBy("shard").agg(F.count("*").alias("m"))
+    name = "short"
     if size.where(F.col("m") > limit).limit(1).count():
-        points = scratch.save(sets.select("cls", "n", "sketch").dropDuplicates(["cls"]), "points")
-        large = scratch.save(divide(large, points, scratch, limit, t).distinct(), "divided")
-    # Only sets in a shard or pair, then only those in a close pair, are needed: a filter of fixed size keeps the others from the shuffle.
-    counted = shared.where("b is not null").groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.max("need").alias("need"))
-    counted = scratch.save(counted.where("seen >= need").select("a", "b"), "counted")
-    scratch.drop("shared")
-    scratch.release()
-    ends = counted.select(F.col("a").alias("cls")).unionByName(counted.select(F.col("b").alias("cls"))).unionByName(large.select("cls"))
-    sketches = scratch.save(_sieve(ends, sets.select("cls", "n", "sketch")).dropDuplicates(["cls"]), "sketches")
-    passed = _search(large.join(sketches, "cls"), t).unionByName(_close_pairs(counted, sketches, t))
+        name = "cls"  # from here on sets with one short name go separate ways
+        points = scratch.save(sets.select("short", "cls", "n", "sketch").dropDuplicates(["cls"]), "points")
+        whole = large.distinct().join(points.select("short", "cls"), "short").select("shard", "cls")
+        large = divide(whole, points, scratch, limit, t).distinct().withColumn("short", F.col("cls").bitwiseAND(int(_SHORT)))
+        large = scratch.save(large, "divided")
+        for done in ("points", *(f"{x}-{k}" for x in ("sized", "far", "child") for k in range(16))):
+            scratch.drop(done)
+    counted = scratch.save(_counted(shared.where("target is not null")), "counted")
+    # Only sets in a shard or pair, then only those in a close pair, are needed: a filter keeps the others from the shuffle.
+    ends = counted.select(F.col("a").alias("short")).unionByName(counted.select(F.col("b").alias("short"))).unionByName(large.select("short"))
+    sketches = scratch.save(_sieve(ends, sets.select("short", "cls", "n", "sketch"), "short").dropDuplicates(["cls"]), "sketches")
+    placed = large.join(sketches.drop("short") if name == "cls" else sketches, name)
+    passed = _search(placed, t).unionByName(_close_pairs(counted, sketches, t))
     passed = scratch.save(passed.distinct(), "passed")
+    for done in ("hot", "shared", "divided", "counted", "sketches"):
+        scratch.drop(done)
     scratch.release()
     ends = passed.select(F.col("a").alias("cls")).unionByName(passed.select(F.col("b").alias("cls")))
-    payload = scratch.save(_sieve(ends, sets.select("cls", "runs")).dropDuplicates(["cls"]), "payload")
+    payload = scratch.save(_sieve(ends, sets.select("cls", "runs"), "cls").dropDuplicates(["cls"]), "payload")
     pairs = scratch.save(_verify(passed, payload, t), "pairs")
     members = scratch.save(sets.select(id_col, "cls").distinct(), "members")
+    for done in ("sets", "passed", "payload"):
+        scratch.drop(done)
     return members, pairs
 
 
-def _sieve(shards: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of ``sets`` whose class is in a shard, and a few more: a bit table of 2^24 bits."""
-    bits = 1 << 24
+def _sieve(wanted: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Rows of ``sets`` whose ``name`` is wanted, and a few more: a table of about 16 bits a wanted row, 64 MB at most."""
+    bits = _power(16 * wanted.count(), 1 << 18, 1 << 29)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits, bool)
-        for batch in batches:
-            table[(batch.column(0).to_numpy().view(_U) % _U(bits)).astype(np.int64)] = True
-        if table.any():
-            packed = np.packbits(table).reshape(32, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["block", "bits"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(bits // 256, np.uint8)
-        for v in pdf["bits"]:
-            total |= np.frombuffer(v, np.uint8)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [total.tobytes()]})
-
-    out = np.zeros((32, bits // 256), np.uint8)
-    for r in shards.select("cls").mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").collect():
-        out[r.block] = np.frombuffer(r.bits, np.uint8)
-    shared = sets.sparkSession.sparkContext.broadcast(out.ravel())  # 2 MB
+    def places(batch: pa.RecordBatch, _: set[int]) -> np.ndarray:
+        return (_mix(batch.column(0).to_numpy().view(_U)) % _U(bits)).astype(np.int64)
+
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(_counters(wanted.select(name), places, bits) > 0))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.schema.fields)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(shared.value).astype(bool)
+        table = shared.value
         for batch in batches:
-            hit = table[(batch.column("cls").to_numpy().view(_U) % _U(bits)).astype(np.int64)]
+            at = (_mix(batch.column(name).to_numpy().view(_U)) % _U(bits)).astype(np.int64)
+            hit = table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
             if hit.any():
-                yield batch.filter(pa.array(hit))
+                yield batch.filter(pa.array(hit.astype(bool)))
 
     return sets.mapInArrow(keep, fields)
 
@@ -638,9 +742,12 @@ def id_pairs(members: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFr
     a = members.select(F.col(id_col).alias("x"), F.col("cls").alias("a"))
     b = members.select(F.col(id_col).alias("y"), F.col("cls").alias("b"))
     across = pairs.select("a", "b").join(a, "a").join(b, "b").where("x != y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    copies = members.groupBy("cls").count().where("count > 1").select(F.col("cls").alias("a"))
-    twins = a.join(copies, "a", "left_semi")
-    within = twins.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    # The copies of a class meet in parts of about a thousand: one side is dealt out, the other goes to every part.
+    parts = F.ceil(F.col("count") / 1000).cast("int")
+    copies = members.groupBy("cls").count().where("count > 1").select(F.col("cls").alias("a"), parts.alias("parts"))
+    one = a.join(copies, "a").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    two = b.withColumnRenamed("b", "a").join(copies, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    within = one.join(two, ["a", "part"]).where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     return across.unionByName(within).distinct()
 
 
