@@ -3,7 +3,6 @@
 import json
 
 from turnstone import api
-from turnstone.operators.incremental import FileRuns
 from turnstone.streaming import ingest
 
 
@@ -56,29 +55,6 @@ def test_stream(spark, tmp_path):
     assert run() == 2
 
 
-def test_file_runs(spark, tmp_path):
-    src = tmp_path / "src"
-    src.mkdir()
-    (src / "a.txt").write_text("1")
-    runs = FileRuns(spark, str(tmp_path / "out"))
-    read = lambda paths: spark.read.text(paths)
-
-    def broken(paths):
-        spark.read.text(paths).write.parquet(f"{tmp_path}/out/data/batch=half")
-        raise RuntimeError
-
-    try:
-        runs.run(str(src), broken)
-    except RuntimeError:
-        pass
-    assert runs.run(str(src), read) is not None
-    assert runs.run(str(src), read) is None
-    (src / "b.txt").write_text("2")
-    (src / "a.txt").write_text("3")
-    runs.run(str(src), read)
-    assert sorted(r.value for r in runs.output().collect()) == ["1", "2", "3"]
-
-
 def test_registry_without_llm():
     import __spark_entry__ as entry
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.operators.incremental import committed, pending_records
+from turnstone.operators.incremental import LogRuns, committed, new_batch_root
 from turnstone.session import table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pending_records(table(spark, d, "turn"), table(spark, d, "index_state")).select("id").distinct()
+    """A run over the turns: what is pending is written under its batch identifier and committed; the rows are those of that batch."""
+    turns = table(spark, d, "turn").select("id", "transcript_file", "turn_index", "written_at")
+    runs = LogRuns(spark, new_batch_root(spark, "p5"))
+    batch = runs.run(turns, table(spark, d, "index_state"), lambda pending: pending.select("id").distinct())
+    return runs.output(batch) if batch else turns.select("id").where("false")
 
 
 def p5_manifest(spark: SparkSession, d: str) -> DataFrame:
