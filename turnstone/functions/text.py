@@ -64,6 +64,8 @@ def cutoff_time(now: Column, days: int) -> Column:
 
 def tokens(c: Column) -> Column:
     """Search terms: runs of letters and digits, case and Latin diacritics folded; null has none."""
+    # Text of one byte a character has nothing to fold but case.
+    plain = F.split(F.lower(c), "[^a-z0-9]+")
     folded = F.lower(F.translate(F.regexp_replace(c, "[\u0300-\u036f]", ""), ACCENTED, PLAIN))
-    parts = F.split(folded, r"[^\p{L}\p{N}]+")
-    return F.coalesce(F.filter(parts, lambda t: t != ""), F.array().cast("array<string>"))
+    parts = F.when(F.octet_length(c) == F.length(c), plain).otherwise(F.split(folded, r"[^\p{L}\p{N}]+"))
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))

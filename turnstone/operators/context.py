@@ -27,9 +27,19 @@ def around(turns: DataFrame, session_id: str, turn_index: int, context: int = 2)
 
 
 def around_all(turns: DataFrame, turn_index: int, context: int = 1) -> DataFrame:
-    """``around`` for every session at once: adds ``position`` relative to the nearest turn."""
-    w = Window.partitionBy("session_id").orderBy("turn_index", "doc_id")
-    df = turns.withColumn("_rn", F.row_number().over(w))
-    near = turns.groupBy("session_id").agg(F.min_by(F.struct("turn_index", "doc_id"), F.struct(F.abs(F.col("turn_index") - F.lit(turn_index)), "turn_index", "doc_id")).alias("_t"))
-    hit = df.join(near, (df["session_id"] == near["session_id"]) & (df["turn_index"] == F.col("_t.turn_index")) & (df["doc_id"] == F.col("_t.doc_id"))).select(df["session_id"], F.col("_rn").alias("_target"))
-    return df.join(hit, "session_id").where(F.abs(F.col("_rn") - F.col("_target")) <= context).withColumn("position", F.col("_rn") - F.col("_target")).drop("_rn", "_target")
+    """``around`` for every session at once: adds ``position`` relative to the nearest turn.
+
+    The nearest turn of each session is an aggregate that combines before the
+    shuffle; of the rows on its two sides every task passes on ``context`` per
+    session only, so a session with a third of all rows is nowhere gathered.
+    """
+    distance = F.abs(F.col("turn_index") - F.lit(turn_index))
+    near = turns.groupBy("session_id").agg(F.min(F.struct(distance.alias("d"), "turn_index", "doc_id")).alias("_t"))
+    near = near.select(F.col("session_id").alias("_session"), F.struct("_t.turn_index", "_t.doc_id").alias("_target"))
+    placed = turns.join(near, F.col("session_id") == F.col("_session")).drop("_session")
+    place = F.struct("turn_index", "doc_id")
+    own = Window.partitionBy("session_id")
+    back, on = F.row_number().over(own.orderBy(F.desc("turn_index"), F.desc("doc_id"))), F.row_number().over(own.orderBy("turn_index", "doc_id"))
+    before = placed.where(place < F.col("_target")).withColumn("_n", back).where(F.col("_n") <= context).withColumn("position", -F.col("_n"))
+    after = placed.where(place >= F.col("_target")).withColumn("_n", on).where(F.col("_n") <= context + 1).withColumn("position", F.col("_n") - 1)
+    return before.unionByName(after).drop("_n", "_target")

@@ -9,12 +9,11 @@ themselves.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import text
@@ -25,17 +24,13 @@ WEIGHTS = {"doc_id": 0.0, "content": 1.0}
 UNINDEXED = ("session_id", "git_branch", "turn_index", "timestamp", "chunk_type", "project_root")
 
 
+_TERM = regex.compile(r"[\p{L}\p{N}]+")
+_FOLD = str.maketrans(text.ACCENTED, text.PLAIN) | dict.fromkeys(range(0x300, 0x370))
+
+
 def fold(s: str) -> list[str]:
     """Tokens of a query text, as ``text.tokens`` gives them for a column."""
-    s = re.sub("[̀-ͯ]", "", s).translate(str.maketrans(text.ACCENTED, text.PLAIN)).lower()
-    out, word = [], ""
-    for c in s + " ":
-        if unicodedata.category(c)[0] in "LN":
-            word += c
-        elif word:
-            out.append(word)
-            word = ""
-    return out
+    return _TERM.findall((s if s.isascii() else s.translate(_FOLD)).lower())
 
 
 @dataclass
@@ -271,7 +266,6 @@ def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
     if node is None:
         return docs.where(F.lit(False)).withColumn("fts_rank", F.lit(0.0))
     phrases = _phrases(node)
-    names = {id(p): i for i, p in enumerate(phrases)}
     none = F.array().cast("array<int>")
 
     def facts(own: Column) -> Column:
@@ -279,19 +273,8 @@ def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
         at = [{c: _starts(own[c], p) if p.columns is None or c in p.columns else none for c in WEIGHTS} for p in phrases]
         has = [(F.size(x["doc_id"]) > 0) | (F.size(x["content"]) > 0) for x in at]
 
-        def matches(x: Node) -> Column:
-            if x.op == "phrase":
-                return has[names[id(x.phrase)]]
-            if x.op == "near":
-                return _near(x, [at[names[id(p.phrase)]] for p in x.parts])
-            parts = [matches(p) for p in x.parts]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out & p if x.op == "and" else out | p if x.op == "or" else out & ~p
-            return out
-
         return F.struct(
-            (F.size(own["doc_id"]) + F.size(own["content"])).alias("dl"), matches(node).alias("hit"),
+            (F.size(own["doc_id"]) + F.size(own["content"])).alias("dl"), _matches(node, phrases, at, has).alias("hit"),
             *[F.size(x["content"]).alias(f"f{i}") for i, x in enumerate(at)], *[h.alias(f"h{i}") for i, h in enumerate(has)],
         )
 
@@ -303,14 +286,36 @@ def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
     if where is not None:
         hits = hits.where(where)
     scored = hits.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
+    out = scored.select(*cols, (-_bm25(len(phrases))).alias("fts_rank"))
+    return out.orderBy("fts_rank", id_col).limit(limit) if limit else out
+
+
+def _bm25(phrases: int) -> Column:
+    """Of a row with its length, the counts of the phrases and the statistics of all rows."""
     total = F.lit(0.0)
-    for i in range(len(phrases)):
+    for i in range(phrases):
         idf = F.log((F.col("_n") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
         f = F.col(f"_f{i}").cast("double")
         total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    out = scored.select(*cols, (-total).alias("fts_rank"))
-    return out.orderBy("fts_rank", id_col).limit(limit) if limit else out
+    return total
+
+
+def _matches(node: Node, phrases: list[Phrase], at: list[dict[str, Column]], has: list[Column]) -> Column:
+    names = {id(p): i for i, p in enumerate(phrases)}
+
+    def of(x: Node) -> Column:
+        if x.op == "phrase":
+            return has[names[id(x.phrase)]]
+        if x.op == "near":
+            return _near(x, [at[names[id(p.phrase)]] for p in x.parts])
+        parts = [of(p) for p in x.parts]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p if x.op == "and" else out | p if x.op == "or" else out & ~p
+        return out
+
+    return of(node)
 
 
 def _within(i: Column, most: int):  # noqa: ANN202
@@ -333,24 +338,97 @@ def _near(x: Node, at: list[dict[str, Column]]) -> Column:
     return out
 
 
+#: What an index holds: a row per term, column and document, sorted by term; and a row of totals per part.
+POSTINGS = "term string, col string, doc_id string, tf int, dl int, positions array<int>"
+STATS = "n bigint, total bigint"
+
+
+def _placed(col: str):  # noqa: ANN202
+    return lambda t, i: F.struct(F.lit(col).alias("col"), t.alias("term"), i.alias("pos"))
+
+
+def _moved(by: int):  # noqa: ANN202
+    return lambda i: i - by
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """Inverted index: (term, id, tf, positions), one row per term and document, for storing sorted by term."""
-    df = docs.select(F.col(id_col).alias("doc"), F.posexplode(text.tokens(F.col(text_col))).alias("pos", "term"))
-    return df.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).select("term", F.col("doc").alias(id_col), "tf", "positions")
-
-
-def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    return index(docs, id_col, text_col).select(id_col, F.col("_dl").alias("dl"))
-
-
-def search_postings(post: DataFrame, stats: DataFrame, terms: list[str], id_col: str = "doc_id", limit: int = 15) -> DataFrame:
-    """AND of terms over a stored index: reads only the terms' postings (a filter that reaches the scan)."""
-    words = sorted({t for w in terms for t in fold(w)})
-    hit = post.where(F.col("term").isin(words))
-    n = hit.groupBy("term").agg(F.count("*").alias("df"))
-    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).withColumn("one", F.lit(1))
-    joined = hit.select("term", id_col, "tf").join(F.broadcast(n), "term").join(stats, id_col).withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    scored = joined.groupBy(id_col).agg(F.count("*").alias("k"), (-F.sum(part)).alias("fts_rank")).where(F.col("k") == len(words))
-    return scored.select(id_col, "fts_rank").orderBy("fts_rank", id_col).limit(limit)
+    """Inverted index of both indexed columns: (term, col, id, tf, dl, positions), ``dl`` the length of the document.
+
+    Sorted by term inside range partitions by term and id, so a filter on terms
+    reads few pages and a term that is in a third of all texts spans many
+    partitions. The partitions also group the rows: one shuffle.
+    """
+    both = [F.transform(text.tokens(F.col(c).cast("string")), _placed(k)) for k, c in (("doc_id", id_col), ("content", text_col))]
+    df = docs.select(F.col(id_col).alias("_id"), F.concat(*both).alias("_t")).select("_id", F.size("_t").alias("dl"), F.explode("_t").alias("t")).select("_id", "dl", "t.*")
+    df = df.repartitionByRange("term", "_id")
+    out = df.groupBy("term", "_id", "col").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return out.select("term", "col", F.col("_id").alias(id_col), "tf", "dl", "positions").sortWithinPartitions("term")
+
+
+def totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """One row: number of documents and of their tokens."""
+    size = F.size(text.tokens(F.col(id_col).cast("string"))) + F.size(text.tokens(F.col(text_col)))
+    return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total"))
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "content") -> None:
+    """The index of some documents as tables below ``path``; indexes of parts are read together."""
+    postings(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/postings")
+    totals(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, paths: list[str], id_type: str = "string") -> tuple[DataFrame, DataFrame]:
+    """(postings, totals) of indexes written before."""
+    post = POSTINGS.replace("doc_id string", f"doc_id {id_type}")
+    if not paths:
+        return spark.createDataFrame([], post), spark.createDataFrame([], STATS)
+    return spark.read.schema(post).parquet(*[f"{p}/postings" for p in paths]), spark.read.schema(STATS).parquet(*[f"{p}/stats" for p in paths])
+
+
+def search_index(post: DataFrame, stats: DataFrame, query: str, id_col: str = "doc_id", allowed: DataFrame | None = None, limit: int | None = 15) -> DataFrame:
+    """(id, fts_rank) of the documents that match, as ``search`` ranks them, from a stored index.
+
+    The scan gets a filter on the query's terms and prefixes; what is shuffled
+    are the places of these terms. ``allowed`` (ids) only filters what is
+    returned. The counts of phrases come from the same grouped rows.
+    """
+    node = parse_query(query)
+    if node is None:
+        return post.where(F.lit(False)).select(id_col, F.lit(0.0).alias("fts_rank"))
+    phrases = _phrases(node)
+    words = sorted({(w, p.prefix and j == len(p.words) - 1) for p in phrases for j, w in enumerate(p.words)})
+    number = {w: k for k, w in enumerate(words)}
+
+    def is_word(w: tuple[str, bool]) -> Column:
+        return F.startswith("term", F.lit(w[0])) if w[1] else F.col("term") == w[0]
+
+    exact, prefixes = [w for w, open_end in words if not open_end], [w for w, open_end in words if open_end]
+    wanted = reduce(lambda a, b: a | b, [F.col("term").startswith(w) for w in prefixes] + ([F.col("term").isin(exact)] if exact else []))
+    none = F.array().cast("array<int>")
+    places = [
+        F.flatten(F.collect_list(F.when(is_word(w) & (F.col("col") == c), F.col("positions")))).alias(f"p{number[w]}_{c}") for w in words for c in WEIGHTS
+    ]
+    df = post.where(wanted).groupBy(id_col).agg(F.first("dl").alias("_dl"), *places)
+
+    def starts(p: Phrase, c: str) -> Column:
+        if p.columns is not None and c not in p.columns:
+            return none
+        own = [F.col(f"p{number[w, p.prefix and j == len(p.words) - 1]}_{c}") for j, w in enumerate(p.words)]
+        out = own[0]
+        for j, x in enumerate(own[1:], 1):
+            out = F.array_intersect(out, F.transform(x, _moved(j)))
+        return F.filter(out, lambda i: i == 0) if p.first else out
+
+    df = df.withColumns({f"s{i}_{c}": starts(p, c) for i, p in enumerate(phrases) for c in WEIGHTS})
+    at = [{c: F.col(f"s{i}_{c}") for c in WEIGHTS} for i in range(len(phrases))]
+    has = [(F.size(x["doc_id"]) > 0) | (F.size(x["content"]) > 0) for x in at]
+    matches = _matches(node, phrases, at, has)
+    df = df.select(id_col, "_dl", matches.alias("_hit"), *[F.size(x["content"]).alias(f"_f{i}") for i, x in enumerate(at)], *[h.alias(f"_h{i}") for i, h in enumerate(has)])
+    seen = df.agg(*[F.count_if(f"_h{i}").alias(f"_n{i}") for i in range(len(phrases))]).withColumn("_one", F.lit(1))
+    whole = stats.agg(F.sum("n").alias("_n"), (F.sum("total") / F.sum("n")).alias("_avg")).withColumn("_one", F.lit(1))
+    hits = df.where("_hit")
+    if allowed is not None:
+        hits = hits.join(allowed.select(id_col), id_col, "left_semi")
+    scored = hits.withColumn("_one", F.lit(1)).join(F.broadcast(seen), "_one").join(F.broadcast(whole), "_one")  # one row each
+    out = scored.select(id_col, (-_bm25(len(phrases))).alias("fts_rank"))
+    return out.orderBy("fts_rank", id_col).limit(limit) if limit else out

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import ids, text
 from turnstone.operators import ordered
 from turnstone.session import Scratch
 
-#: Kinds of lines that give no text but still carry time and branch on.
-SKIPPED = ("file-history-snapshot", "progress", "system", "queue-operation")
-
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
@@ -82,17 +79,19 @@ def from_entries(entry: DataFrame) -> DataFrame:
 
 
 def assemble(facts: DataFrame, scratch: Scratch | None = None, key: str = "session_id") -> DataFrame:
-    """Turns and summaries of line facts.
+    """Turns and summaries of line facts; lines of any other kind only carry time and branch on.
 
     A boundary is an accepted user line or any summary line. A turn is a user
     text with the assistant texts up to the next boundary; it carries time and
     branch as known at that boundary's line (or at the end), each the last
     non-empty one of any line. Text before the first user line and between a
     summary and the next user line belongs to no turn. Turns whose text is
-    under 20 characters fall away, summaries do not. With ``scratch`` files of
-    any length are spread over tasks; without, a file's facts are ordered in
-    one task (for small batches). An empty input gives an empty result.
+    under 20 characters fall away, summaries do not. Files of any length are
+    spread over tasks, by way of ``scratch``. Of the texts of one turn no task
+    passes on more than may stand before the cut. An empty input gives an empty
+    result.
     """
+    scratch = scratch or Scratch(facts.sparkSession, "turns")
     root = F.col("project_root") if "project_root" in facts.columns else F.lit("")
     user = (F.col("kind") == "user") & ~F.col("is_meta") & F.coalesce(text.strip(F.col("said")) != "", F.lit(False))
     summary = F.col("kind") == "summary"
@@ -104,7 +103,7 @@ def assemble(facts: DataFrame, scratch: Scratch | None = None, key: str = "sessi
         F.when(F.coalesce(summary, F.lit(False)), F.col("summary")).alias("summary"),
         F.when(F.col("kind") == "assistant", F.col("blocks")).alias("blocks"),
     )
-    df = ordered.chunked(df, scratch, "lines", "k", ["pos"]) if scratch else df.withColumn(ordered.CHUNK, F.lit(0))
+    df = ordered.chunked(df, scratch, "lines", "k", ["pos"])
     df = df.withColumn("boundary", F.when(F.col("said").isNotNull() | F.col("summary").isNotNull(), F.col("pos")))
     for value, out in (("t", "t_now"), ("b", "b_now"), ("boundary", "start")):
         df = ordered.carry_last(df, "k", ["pos"], value, out)
@@ -112,11 +111,12 @@ def assemble(facts: DataFrame, scratch: Scratch | None = None, key: str = "sessi
     now = F.struct(F.coalesce("t_now", F.lit("")).alias("t"), F.coalesce("b_now", F.lit("")).alias("b"))
     bounds = ordered.following(bounds, "k", ["pos"], now, "next")
     end = df.groupBy("k").agg(F.max_by(now, "pos").alias("end"))
-    spoken = df.where("blocks is not null and start is not null and size(blocks) > 0").groupBy("k", F.col("start").alias("pos")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), "blocks"))).alias("s")
-    )
+    spoken = df.where("blocks is not null and start is not null and size(blocks) > 0").select("k", ordered.CHUNK, "start", "pos", F.substring(F.array_join("blocks", "\n\n"), 1, text.TURN_CHARS + 1).alias("said"))
+    before = Window.partitionBy("k", ordered.CHUNK, "start").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    spoken = spoken.withColumn("_before", F.coalesce(F.sum(F.length("said")).over(before), F.lit(0))).where(F.col("_before") <= text.TURN_CHARS)
+    spoken = spoken.groupBy("k", F.col("start").alias("pos")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), "said"))).alias("s"))
     joined = bounds.join(end, "k").join(spoken, ["k", "pos"], "left")
-    answer = F.array_join(F.flatten(F.transform("s", lambda x: x.blocks)), "\n\n")
+    answer = F.array_join(F.transform("s", lambda x: x.said), "\n\n")
     is_turn = F.col("said").isNotNull()
     body = F.when(
         is_turn,

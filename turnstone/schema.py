@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +32,23 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in DEFAULTS.items()})
 
 
-def canonical(turns: DataFrame) -> DataFrame:
+def canonical(turns: DataFrame, *columns: str, where: Column | None = None) -> DataFrame:
     """The test table ``turn`` as turns: defaults filled, one row per doc_id (null doc_id: per id).
 
-    Of rows with one doc_id the one of least id stays. Columns that are not
-    part of the table are left out, so their names cannot clash.
+    Of rows with one doc_id the one of least id stays. Only ``columns`` (all of
+    the table if none are named) are read and moved. ``where``, a condition on
+    columns as stored, reaches the scan: the rows it leaves are joined with the
+    least ids, for which doc_id and id are read alone. Columns that are not part
+    of the table are left out, so their names cannot clash.
     """
-    cols = ["id", "doc_id", "content", *DEFAULTS]
-    one = turns.select(*[c for c in cols if c in turns.columns])
-    one = one.groupBy("doc_id").agg(F.min_by(F.struct(*one.columns), "id").alias("r")).select("r.*")
-    return with_defaults(one).withColumn("content", F.coalesce("content", F.lit("")))
+    cols = [c for c in dict.fromkeys(["id", "doc_id", *(columns or ["content", *DEFAULTS])]) if c in turns.columns]
+    key = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("id")).alias("_own")]
+    if where is None:
+        one = turns.select(*cols).groupBy(*key).agg(F.min_by(F.struct(*cols), "id").alias("r")).select("r.*")
+    else:
+        least = turns.groupBy(*key).agg(F.min("id").alias("_least")).select(F.col("doc_id").alias("_doc_id"), "_least")
+        own = turns.where(where).select(*cols)
+        one = own.join(least, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("id") == F.col("_least")), "left_semi").dropDuplicates(["id", "doc_id"])
+    named = {c: v for c, v in DEFAULTS.items() if not columns or c in columns}
+    one = one.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in one.columns else F.lit(v) for c, v in named.items()})
+    return one.withColumn("content", F.coalesce("content", F.lit(""))) if "content" in one.columns else one
