@@ -1,17 +1,16 @@
 """Whole-corpus encoding with a public byte-level BPE vocabulary (problem 6).
 
 Pre-tokenisation runs without a regular expression. A batch of texts becomes
-one array of code points; a table maps each code point to a class (letter,
-number, white space, other). The automaton that the vocabulary's split pattern
-describes has one transition function per class, and all of them but the one
-for white space are *resets*: the state after them does not depend on the state
-before. Composition of such functions is associative and collapses to "the last
-reset", so one running maximum (an associative scan) gives the state at every
-position, and boundaries follow from the classes around it. Contractions
-(apostrophe and one or two letters) are the only look-ahead and are located the
-same way.
-
-The slices between boundaries are looked up by 64-bit hash in a per-worker
+one array of code points, a table maps each to a symbol (letter, number, white
+space, apostrophe and so on), and an automaton reads the symbols: a state for
+each kind of run and for what may become a contraction, with marks at which
+position a piece begins. Every symbol is a function from states to states, and
+composition of functions is associative, so the automaton runs as a scan: blocks
+of the array compose their functions side by side, a scan over the blocks gives
+the state at which each begins, and a second pass over all blocks side by side
+gives the state before every code point.
+
+The slices between boundaries are looked up by two 64-bit hashes in a per-worker
 table of encoded pieces; only pieces not met before are merged.
 """
 
@@ -32,7 +31,6 @@ from pyspark.sql import DataFrame
 TOKENIZERS = os.environ.get("TURNSTONE_TOKENIZERS", "/opt/tokenizers")
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 
-LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
 _LIMIT = 0x110000
 #: Pieces beyond this many code points skip the hash table and are looked up as strings.
 _HASHED = 48
@@ -42,9 +40,20 @@ _PASS = 1 << 20
 _SLOTS = 1 << 19
 
 
+#: Symbols. The letters of contractions are symbols of their own: s t m d end one at once, r v l may begin one of two letters.
+SYMBOLS = ("letter", "s", "r", "v", "l", "e", "number", "blank", "space", "quote", "other", "end")
+LETTER, S, R, V, L, E, NUMBER, BLANK, SPACE, QUOTE, OTHER, END = range(12)
+#: States: what the code points read last are part of. ``quoted``: an apostrophe that begins a piece.
+STATES = ("start", "letters", "numbers", "others", "blank", "space", "quoted", "quoted r", "quoted v", "quoted l", "contraction")
+#: Marks: a piece begins here, a piece begins one code point before.
+HERE, BEFORE = 1, 2
+#: Code points that a block of the scan reads one after the other.
+_BLOCK = 256
+
+
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
-    """Class of every code point: Unicode L*, N*, White_Space, and the rest."""
+    """Symbol of every code point: Unicode L*, N*, White_Space, apostrophe and the rest."""
     t = np.full(_LIMIT + 1, OTHER, np.uint8)
     for cp in range(_LIMIT):
         major = unicodedata.category(chr(cp))[0]
@@ -55,10 +64,72 @@ def class_table() -> np.ndarray:
     # The code points with the Unicode property White_Space.
     spaces = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
     t[spaces] = SPACE
-    t[_LIMIT] = END
+    # Fixed values: 's 't 'm 'd and 're 've 'll of the vocabulary's split pattern.
+    for letters, symbol in (("stmd", S), ("r", R), ("v", V), ("l", L), ("e", E)):
+        t[[ord(c) for c in letters]] = symbol
+    t[0x20], t[0x27], t[_LIMIT] = BLANK, QUOTE, END
     return t
 
 
+@lru_cache(maxsize=1)
+def transitions() -> tuple[np.ndarray, np.ndarray]:
+    """(next state, marks) by state and symbol, from the rules of the split pattern."""
+    state = {name: i for i, name in enumerate(STATES)}
+    follow, marks = np.zeros((len(STATES), len(SYMBOLS)), np.uint8), np.zeros((len(STATES), len(SYMBOLS)), np.uint8)
+    second = {"quoted r": E, "quoted v": E, "quoted l": L}  # what completes a contraction of two letters
+    runs = {"letters": {LETTER, S, R, V, L, E}, "numbers": {NUMBER}, "others": {QUOTE, OTHER}}
+    for name, i in state.items():
+        for symbol in range(len(SYMBOLS)):
+            kind = "space" if symbol in (BLANK, SPACE) else next((k for k, own in runs.items() if symbol in own), "end")
+            late = BEFORE if name in second else 0  # no contraction after all: its letter began a piece of its own
+            if name in second and symbol == second[name]:
+                to, mark = "contraction", 0
+            elif symbol == END:
+                to, mark = "start", HERE | late
+            elif kind == "space":  # white space continues white space, the last of it is set apart below
+                to, mark = STATES[state["blank"] if symbol == BLANK else state["space"]], 0 if name in ("blank", "space") else HERE | late
+            elif name in ("blank", "space"):  # a blank leads the run, other white space stands alone
+                to, mark = kind, BEFORE | (0 if name == "blank" else HERE)
+                if name == "space" and symbol == QUOTE:
+                    to = "quoted"
+            elif name == "quoted" and symbol in (S, R, V, L):
+                to, mark = {S: "contraction", R: "quoted r", V: "quoted v", L: "quoted l"}[symbol], 0
+            elif kind == {"quoted": "others"}.get(name, "letters" if name in second else name):
+                to, mark = kind, late
+            else:
+                to, mark = "quoted" if symbol == QUOTE else kind, HERE | late
+            follow[i, symbol], marks[i, symbol] = state[to], mark
+    return follow, marks
+
+
+def scan(symbols: np.ndarray) -> np.ndarray:
+    """The state before each symbol, by composing transition functions."""
+    follow, _ = transitions()
+    n, q = len(symbols), len(STATES)
+    blocks = -(-n // _BLOCK)
+    grid = np.full(blocks * _BLOCK, END, np.uint8)
+    grid[:n] = symbols
+    grid = np.ascontiguousarray(grid.reshape(blocks, _BLOCK).T)
+    flat = follow.ravel()
+    wide = (np.arange(q, dtype=np.uint16) * len(SYMBOLS)).astype(np.uint16)
+    # Each block's function: where it leads from every state.
+    whole = np.repeat(np.arange(q, dtype=np.uint8)[:, None], blocks, 1)
+    for row in grid:
+        whole = flat[wide[whole] + row]
+    # Composition over the blocks before, in doubling steps.
+    step = 1
+    while step < blocks:
+        joined = whole.copy()
+        joined[:, step:] = np.take_along_axis(whole[:, step:], whole[:, :-step].astype(np.intp), 0)
+        whole, step = joined, 2 * step
+    state = np.concatenate([[0], whole[0, :-1]]).astype(np.uint8)
+    before = np.empty((_BLOCK, blocks), np.uint8)
+    for j, row in enumerate(grid):
+        before[j] = state
+        state = flat[wide[state] + row]
+    return before.T.ravel()[:n]
+
+
 def boundaries(points: np.ndarray) -> np.ndarray:
     """Start flags of the pieces in code points where texts are divided by the value 0x110000.
 
@@ -66,39 +137,11 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     """
     if not len(points):
         return np.empty(0, bool)
-    # A divider after the last text too, so that the rules see its end as that of any other.
-    points = np.append(points, np.uint32(_LIMIT))
-    n = len(points)
-    cls = class_table()[points]
-    space = cls == SPACE
-    start = np.empty(n, bool)
-    start[0] = True
-    # A change of class opens a piece; inside a run none does.
-    np.not_equal(cls[1:], cls[:-1], out=start[1:])
-    before_text = np.zeros(n, bool)  # white space right before a visible character
-    before_text[:-1] = space[:-1] & (cls[1:] != SPACE) & (cls[1:] != END)
-    # The last white space before text stands alone, or leads the text's piece if it is a blank.
-    start |= before_text
-    blank = before_text & (points == 0x20)
-    start[1:] &= ~blank[:-1]
-    # Contractions: the apostrophe opens a run of its own, not led by a blank.
-    quote = np.flatnonzero((points == 0x27) & start)
-    quote = quote[quote + 2 < n]
-    if len(quote):
-        a, b = points[quote + 1], points[quote + 2]
-        # Fixed values: 's 't 'm 'd and 're 've 'll of the vocabulary's split pattern.
-        one = np.isin(a, np.array([ord(c) for c in "stmd"]))
-        two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
-        for hit, width in ((one, 1), (two & ~one, 2)):
-            at = quote[hit]
-            start[at + 1] = False
-            if width == 2:
-                start[at + 2] = False
-            end = at + 1 + width
-            end = end[end < n]
-            start[end[(cls[end] == LETTER)]] = True
-    start |= cls == END
-    start[1:] |= cls[:-1] == END
+    # A divider after the last text too, so that what waits for one more symbol sees its end.
+    symbols = class_table()[np.append(points, np.uint32(_LIMIT))]
+    marks = transitions()[1][scan(symbols), symbols]
+    start = (marks & HERE) > 0
+    start[:-1] |= (marks[1:] & BEFORE) > 0
     return start[:-1]
 
 
@@ -174,16 +217,16 @@ class Encoder:
 
     def _powers(self, n: int) -> None:
         """An odd multiplier's powers and their inverses: hashes of all slices come from one running sum."""
-        base = 0x9E3779B97F4A7C15
-        powers = np.full(n, base, np.uint64)
-        powers[0] = 1
-        self.powers = np.multiply.accumulate(powers)
-        inverse = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
+        self.powers, self.inverse = [], []
+        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            for out, factor in ((self.powers, base), (self.inverse, pow(base, -1, 1 << 64))):
+                steps = np.full(n, factor, np.uint64)
+                steps[0] = 1
+                out.append(np.multiply.accumulate(steps))
 
     def _clear(self) -> None:
         self.keys = np.zeros(_SLOTS, np.uint64)
+        self.checks = np.zeros(_SLOTS, np.uint64)
         self.offset = np.zeros(_SLOTS, np.int64)
         self.length = np.zeros(_SLOTS, np.int32)
         self.used = 0
@@ -201,12 +244,15 @@ class Encoder:
 
     def _pieces(self, text: str, points: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids in the pool for each slice."""
-        if len(points) > len(self.powers):  # one text without any place to cut
+        if len(points) > len(self.powers[0]):  # one text without any place to cut
             self._powers(2 * len(points))
-        running = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.powers[: len(points)], out=running[1:])
+        values, sums = points.astype(np.uint64) + np.uint64(1), []
+        for powers, inverse in zip(self.powers, self.inverse):
+            running = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum(values * powers[: len(points)], out=running[1:])
+            sums.append((running[e] - running[s]) * inverse[s])
         width = e - s
-        h = (running[e] - running[s]) * self.inverse[s]
+        h, check = sums
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= width.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
@@ -217,7 +263,7 @@ class Encoder:
         at, n = np.empty(len(s), np.int64), np.empty(len(s), np.int32)
         todo = np.flatnonzero(width <= _HASHED)
         for _ in range(4):  # short probes; what stays is inserted below
-            own = self.keys[slot[todo]] == h[todo]
+            own = (self.keys[slot[todo]] == h[todo]) & (self.checks[slot[todo]] == check[todo])
             done = todo[own]
             at[done], n[done] = self.offset[slot[done]], self.length[slot[done]]
             todo = todo[~own]
@@ -225,11 +271,14 @@ class Encoder:
                 break
             slot[todo] = (slot[todo] + 1) & (_SLOTS - 1)
         if len(todo):
-            fresh, first, back = np.unique(h[todo], return_index=True, return_inverse=True)
-            where = np.empty(len(fresh), np.int64)
-            count = np.empty(len(fresh), np.int32)
-            for k, (key, i) in enumerate(zip(fresh.tolist(), todo[first].tolist())):
-                where[k], count[k] = self._insert(key, text[s[i] : e[i]])
+            order = np.lexsort((check[todo], h[todo]))
+            todo = todo[order]
+            new = np.concatenate([[True], (h[todo][1:] != h[todo][:-1]) | (check[todo][1:] != check[todo][:-1])])
+            first, back = np.flatnonzero(new), np.cumsum(new) - 1
+            where = np.empty(len(first), np.int64)
+            count = np.empty(len(first), np.int32)
+            for k, i in enumerate(todo[first].tolist()):
+                where[k], count[k] = self._insert(int(h[i]), int(check[i]), text[s[i] : e[i]])
             at[todo], n[todo] = where[back], count[back]
         for i in np.flatnonzero(width > _HASHED).tolist():
             piece = text[s[i] : e[i]]
@@ -241,17 +290,17 @@ class Encoder:
             at[i], n[i] = found
         return at, n
 
-    def _insert(self, key: int, piece: str) -> tuple[int, int]:
+    def _insert(self, key: int, check: int, piece: str) -> tuple[int, int]:
         slot = (key >> 20) & (_SLOTS - 1)
         for probe in range(64):
             k = (slot + probe) & (_SLOTS - 1)
             held = int(self.keys[k])
-            if held == key:
+            if held == key and int(self.checks[k]) == check:
                 return int(self.offset[k]), int(self.length[k])
             if not held:
                 at, n = self._store(self.vocabulary.merge(piece.encode("utf-8", "replace")))
                 if probe < 4:
-                    self.keys[k], self.offset[k], self.length[k] = key, at, n
+                    self.keys[k], self.checks[k], self.offset[k], self.length[k] = key, check, at, n
                     self.used += 1
                 return at, n
         return self._store(self.vocabulary.merge(piece.encode("utf-8", "replace")))
