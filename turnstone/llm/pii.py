@@ -5,13 +5,16 @@
    words around them. Shapes are wide; most candidates are nothing.
 2. Seeds are candidates that need no context: listed given and family names
    together, numbers with a country code, numbers beside the words that name
-   them, unmistakable addresses.
+   them, plain e-mail addresses, street addresses with a flat or before a postal
+   code. All others are unknown at first.
 3. Spark builds the bipartite graph of lexical patterns (the words before, after
-   and around a candidate) and instances (the parts of a name, the digits and the
-   shape of a number) and scores both in turns: a pattern by the confidence of
-   its candidates, an instance by its patterns. Confident patterns thereby
-   extract instances that no list has; name parts, numbers and shapes of numbers
-   learnt this way extract more.
+   and around a candidate) and instances (a name and its parts, the digits and
+   the shape of a number, the host of an e-mail address, the street of an
+   address) and scores both in turns: a pattern by the confidence of its
+   candidates, an instance by its patterns. Confident patterns thereby
+   extract instances that no list has; parts, numbers, shapes, hosts and streets
+   learnt this way extract more, and a name that is often met where no names
+   are is none.
 4. Candidates of sufficient confidence are results; of overlapping ones the
    better stays.
 """
@@ -19,6 +22,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -159,16 +163,17 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, str, str, float]]:
     for end, what in _anchors().iter(text):
         places[what].append(end)
     taken = set()
-    for lo, hi in _windows(places["at"], 80, 100, len(text)):
+    # Of an e-mail address 64 characters may stand before the sign and 255 after it.
+    for lo, hi in _windows(places["at"], 70, 260, len(text)):
         for m in EMAIL.finditer(text, lo, hi):
             taken.add(m.start())
-            yield "email", m.start(), m.end(), m.group(), "email", 1.0
-    for lo, hi in _windows(places["hidden"], 90, 90, len(text)):
+            yield "email", m.start(), m.end(), m.group(), _host(m.group()), 1.0
+    for lo, hi in _windows(places["hidden"], 150, 280, len(text)):
         for m in HIDDEN.finditer(text, lo, hi):
             s = m.group()
             bare = re.search(r"\s(?:at|AT)\s", s) and not re.search(r"(?i)[\s\[({]dot[\s\])}]", s)
             if m.start() not in taken and "@" not in s and not bare:
-                yield "email", m.start(), m.end(), s, "email", 1.0
+                yield "email", m.start(), m.end(), s, _host(s), -1.0
     # A run of digits holds all of its numbers; what follows it is seen as well, so that no number is cut.
     numbers = [m.span() for m in _DIGITS.finditer(text)]
     for lo, hi in _windows(numbers, 4, 4, len(text)):
@@ -195,20 +200,32 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, str, str, float]]:
             named = bool(near) and not re.search(r"[!?\n]|\.\s(?!\d)", re.sub(r"(?i)\b(no|nr|num)\.", "", lead[near[-1].end() :]))
             named = named or bool(behind and ID_WORDS.search(behind.group(1)))
             yield "id_number", m.start(), m.end(), m.group(), "id:" + re.sub(r"[A-Z]", "A", _digits(m.group())), 1.0 if named else -1.0
-    for lo, hi in _windows(places["street"], 70, 60, len(text)):
+    for lo, hi in _windows(places["street"], 150, 120, len(text)):
         for m in ADDRESS.finditer(text, lo, hi):
             s = m.group()
             if s.endswith("."):  # an abbreviation's full stop stays, a sentence's does not
                 short = re.search(r"(?i)(?:\b(?:st|rd|ave|ln|dr|ct|pl|sq|blvd|apt)|str)\.$", s)
                 if not short or re.match(r"\s*(?:$|\n)|\s+[A-Z]", text[m.end() :]):
                     s = s[:-1]
-            yield "address", m.start(), m.start() + len(s), s, "address", 0.9
+            sure = re.search(_UNIT, s) or re.match(r",? \d{4,5} [A-ZÄÖÜ]", text[m.start() + len(s) : m.start() + len(s) + 12])
+            yield "address", m.start(), m.start() + len(s), s, _street(s), 0.9 if sure else -1.0
     for at in _NAME_AT.finditer(text):
         m = NAME.match(text, at.start())
         if m:
             yield "name", m.start(1), m.end(1), m.group(1), m.group(1), -1.0
 
 
+def _host(address: str) -> str:
+    """Host of an e-mail address, as it is without hiding."""
+    plain = re.sub(r"\s?[\[({<]?\s?\b(?i:dot)\b\s?[\])}>]?\s?", ".", re.sub(r"\s?[\[({<]\s?(?i:at)\s?[\])}>]\s?|\s(?i:at)\s", "@", address))
+    return "@" + plain.rpartition("@")[2].lower()
+
+
+def _street(address: str) -> str:
+    """The words of an address that are neither numbers nor flats."""
+    return " ".join(w.lower() for w in re.findall(r"[^\W\d_]{2,}", re.sub(rf"(?:{_UNIT})\.? ?\w+", "", address)))
+
+
 def _parts(name: str) -> list[str]:
     """Name parts in the case of the list: hyphenated parts apart, initials left out."""
     out = []
@@ -219,13 +236,14 @@ def _parts(name: str) -> list[str]:
 
 
 def find_candidates(texts: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """One row per candidate: (id, kind, a, b, found, seed, patterns, parts, number, shape).
+    """One row per candidate: (id, kind, a, b, found, seed, patterns, parts, instance, shape).
 
-    ``number`` and ``shape`` are hashes of the letters and digits of a number and of its shape, null for other kinds.
+    ``instance`` is a hash of the name, the letters and digits of a number, the host or the street; ``shape`` that of the shape of
+    a number, null for other kinds.
     Patterns are hashes of the words around; their last two bits tell the side: 0 before, 1 after, 2 both.
     """
     kind = texts.schema[id_col].dataType.simpleString()
-    names = [id_col, "kind", "a", "b", "found", "seed", "patterns", "parts", "number", "shape"]
+    names = [id_col, "kind", "a", "b", "found", "seed", "patterns", "parts", "instance", "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,13 +254,13 @@ def find_candidates(texts: DataFrame, id_col: str = "id", text_col: str = "conte
                 for k, a, b, found, instance, seed in candidates(text):
                     patterns = [_hash(f"{k}{side}{words}") & ~3 | side for side, words in _around(text, a, b)]
                     number = k in NUMBERS
-                    nodes = (_hash(k + re.sub(r"[\W_]", "", found)), _hash(instance)) if number else (None, None)
+                    nodes = (_hash(k + re.sub(r"[\W_]", "", found)), _hash(instance)) if number else (_hash(k + instance.lower()), None)
                     rows.append((key, k, a, b, found, seed, patterns, _parts(found) if k == "name" else [], *nodes))
             if rows:
                 types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    schema = f"`{id_col}` {kind}, kind string, a int, b int, found string, seed double, patterns array<bigint>, parts array<string>, number bigint, shape bigint"
+    schema = f"`{id_col}` {kind}, kind string, a int, b int, found string, seed double, patterns array<bigint>, parts array<string>, instance bigint, shape bigint"
     return texts.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -259,10 +277,12 @@ def score(found: DataFrame, names: DataFrame, scratch: Scratch, rounds: int = RO
     a candidate takes the best of its patterns, and a name also what its parts
     are worth: the share of a part's candidates that are names. A given and a
     family part that are both listed or learnt make a name in any context.
-    Then instances pass on what their candidates are worth: a number that is
-    known in one place is known in all, and a shape gives the share of its
-    candidates that are known, except in a context that is met elsewhere and
-    never tells of a detail. The rounds are few on purpose: a mean feeds back
+    Then instances pass on what their candidates are worth: a number, host or
+    street that is known in one place is known in all; a shape gives the share
+    of its candidates that are known, except in a context that is met elsewhere
+    and never tells of a detail, and a number of a shape that is hardly ever
+    known of this kind counts half; a name met several times is worth what it is
+    worth on the average. The rounds are few on purpose: a mean feeds back
     on itself, so that without an end one seed would make a detail of
     everything that shares a pattern with it.
     Aggregations combine before the shuffle, so a pattern that a third of the
@@ -273,7 +293,7 @@ def score(found: DataFrame, names: DataFrame, scratch: Scratch, rounds: int = RO
     known = parts.join(listed, "part").groupBy("cid").agg(F.count("*").alias("k"), F.max("given").alias("g"), F.max("family").alias("f"))
     pair = (F.col("k") >= 2) & (F.col("k") >= F.size(F.array_distinct("parts"))) & F.col("g") & F.col("f")
     start = found.join(known, "cid", "left").withColumn("seed", F.when(F.coalesce(pair, F.lit(False)), 0.95).otherwise(F.col("seed"))).withColumn("m", F.greatest("seed", F.lit(0.0)))
-    live = scratch.save(start.select("cid", "kind", "seed", "m", "number", "shape"), "confidence-0")
+    live = scratch.save(start.select("cid", "kind", "seed", "m", "instance", "shape"), "confidence-0")
     edges = found.select("cid", F.explode("patterns").alias("p"))
     # A pattern met once cannot tell anything of another candidate.
     common = edges.groupBy("p").count().where("count > 1").select("p")
@@ -298,24 +318,30 @@ def score(found: DataFrame, names: DataFrame, scratch: Scratch, rounds: int = RO
             .when(F.col("kind") == "name", F.greatest(sides + F.when(sides > 0.12, F.coalesce("half", F.lit(0.0))).otherwise(0.0), F.col("w")))
             .otherwise(F.greatest("l", "r", "b", F.lit(0.0)))
         )
-        told = scratch.save(seen.select("cid", "kind", "seed", m.alias("m"), "number", "shape", F.coalesce("doubt", F.lit(False)).alias("doubt")), f"context-{k}")
+        told = scratch.save(seen.select("cid", "kind", "seed", m.alias("m"), "instance", "shape", F.coalesce("doubt", F.lit(False)).alias("doubt")), f"context-{k}")
         live = scratch.save(_instances(told), f"confidence-{k}")
     return found.drop("seed").join(live.select("cid", "seed", "m"), "cid")
 
 
 def _instances(told: DataFrame) -> DataFrame:
-    """Candidates with what their number and its shape are worth; names have had the worth of their parts.
+    """Candidates with what their instance and shape are worth.
 
-    Only what is known is joined back: few shapes, and numbers that are details.
+    Only what is known is joined back: few shapes, instances that are details,
+    and names that are not.
     """
-    columns = ["cid", "kind", "seed", "m", "number", "shape"]
+    columns = ["cid", "kind", "seed", "m", "instance", "shape"]
     of_number = F.col("kind").isin(*NUMBERS)
-    numbers = told.where(of_number)
-    known = numbers.groupBy("number").agg(F.max("m").alias("known")).where(F.col("known") >= ACCEPT)
-    share = numbers.groupBy("shape").agg((F.sum("m") / (F.count("*") + 0.5)).alias("share")).where("share > 0.3")
-    worth = F.greatest("m", "known", F.when(~F.col("doubt"), F.col("share")))
-    passed = numbers.join(known, "number", "left").join(share, "shape", "left").withColumn("m", F.when(F.col("seed") >= 0, F.col("seed")).otherwise(worth))
-    return told.where(~of_number).select(*columns).unionByName(passed.select(*columns))
+    pooled = told.groupBy("kind", "instance").agg(F.max("m").alias("known"), F.avg("m").alias("mean"), F.count("*").alias("n"))
+    known = pooled.where((F.col("kind") != "name") & (F.col("known") >= ACCEPT)).select("instance", "known")
+    often = pooled.where((F.col("kind") == "name") & (F.col("n") >= 3) & (F.col("mean") < ACCEPT)).select("instance", "mean")
+    shapes = told.where(of_number).groupBy("shape").agg((F.sum("m") / (F.count("*") + 0.5)).alias("share"), F.count("*").alias("n"))
+    share = shapes.where("share > 0.3 or share < 0.05 and n >= 20").select("shape", "share")
+    unknown = F.col("seed") < 0
+    rest = told.where("kind <> 'name'").join(known, "instance", "left").join(share, "shape", "left")
+    worth = F.greatest("m", "known", F.when(~F.col("doubt") & (F.col("share") > 0.3), F.col("share"))) * F.when(F.col("share") < 0.05, 0.5).otherwise(1.0)
+    rest = rest.withColumn("m", F.when(unknown, worth).otherwise(F.col("seed")))
+    names = told.where("kind = 'name'").join(often, "instance", "left").withColumn("m", F.when(unknown, F.least("m", F.coalesce("mean", "m"))).otherwise(F.col("m")))
+    return rest.select(*columns).unionByName(names.select(*columns))
 
 
 def find_personal(
@@ -337,11 +363,13 @@ def find_personal(
     def best(lists: pd.Series) -> pd.Series:
         out = []
         for spans in lists:
-            kept: list[dict] = []
+            starts, kept = [], []  # in order of their places, not overlapping
             for s in sorted(spans, key=lambda s: (-round(s["m"], 1), s["a"] - s["b"], s["a"], s["kind"])):
-                if all(s["b"] <= o["a"] or s["a"] >= o["b"] for o in kept):
-                    kept.append(s)
-            out.append([{x: s[x] for x in ("a", "b", "kind", "found")} for s in sorted(kept, key=lambda s: s["a"])])
+                i = bisect_right(starts, s["a"])
+                if (i == 0 or kept[i - 1]["b"] <= s["a"]) and (i == len(kept) or kept[i]["a"] >= s["b"]):
+                    starts.insert(i, s["a"])
+                    kept.insert(i, s)
+            out.append([{x: s[x] for x in ("a", "b", "kind", "found")} for s in kept])
         return pd.Series(out)
 
     return spans.select(id_col, F.explode(best("all")).alias("s")).select(id_col, "s.a", "s.b", "s.kind", "s.found")
