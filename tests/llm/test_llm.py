@@ -197,12 +197,12 @@ def test_names_hosts_and_streets_are_pooled(spark):
     rows = [(i, f"Ask Gi{c}lo Fa{c}sen about the port before it closes.") for i, c in enumerate("bcdfghklmn" * 3)]
     rows += [(100 + i, f"The Delta Page and the Page Indexer both call part_{i}.") for i in range(30)]
     rows += [(200, "Ask Page Indexer about the port before it closes."), (201, "Ask Xiblo Yabsen about the port before it closes.")]
-    rows += [(300, "We meet at Flat 2, 12 Winder Street today."), (301, "Odd words stand by 14 Winder Street here."), (302, "Mail joe@corp.example.org now."), (303, "Odd signs by ann (at) corp (dot) example (dot) org there.")]
+    rows += [(300, "We meet at Flat 2, 12 Winder Street today."), (301, "Odd words stand by 14 Winder Street here."), (302, "Mail joe@corp.example.org now."), (303, "Odd signs by ann [at] corp.example.org there.")]
     names = [(f"Gi{c}lo", "given") for c in "bcdfghklmn"] + [(f"Fa{c}sen", "family") for c in "bcdfghklmn"]
     texts, listed = spark.createDataFrame(rows, "id long, content string"), spark.createDataFrame(names, "name_part string, part_kind string")
     got = {(x.id, x.kind, x.found) for x in pii.find_personal(texts, listed, Scratch(spark, "t")).collect()}
     assert (201, "name", "Xiblo Yabsen") in got and not [x for x in got if "Indexer" in x[2]]
-    assert {(301, "address", "14 Winder Street"), (303, "email", "ann (at) corp (dot) example (dot) org")} <= got
+    assert {(301, "address", "14 Winder Street"), (303, "email", "ann [at] corp.example.org")} <= got
 
 
 def test_long_addresses_are_whole():

@@ -5,7 +5,7 @@
    words around them. Shapes are wide; most candidates are nothing.
 2. Seeds are candidates that need no context: listed given and family names
    together, numbers with a country code, numbers beside the words that name
-   them, plain e-mail addresses, street addresses with a flat or before a postal
+   them, e-mail addresses in plain or all in words, street addresses with a flat or before a postal
    code. All others are unknown at first.
 3. Spark builds the bipartite graph of lexical patterns (the words before, after
    and around a candidate) and instances (a name and its parts, the digits and
@@ -173,7 +173,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, str, str, float]]:
             s = m.group()
             bare = re.search(r"\s(?:at|AT)\s", s) and not re.search(r"(?i)[\s\[({]dot[\s\])}]", s)
             if m.start() not in taken and "@" not in s and not bare:
-                yield "email", m.start(), m.end(), s, _host(s), -1.0
+                spelled = re.search(r"(?i)[\s\[({<]dot[\s\])}>]", s)  # with its dots spelled out it can be nothing else
+                yield "email", m.start(), m.end(), s, _host(s), 0.9 if spelled else -1.0
     # A run of digits holds all of its numbers; what follows it is seen as well, so that no number is cut.
     numbers = [m.span() for m in _DIGITS.finditer(text)]
     for lo, hi in _windows(numbers, 4, 4, len(text)):
