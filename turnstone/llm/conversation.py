@@ -100,9 +100,10 @@ def resolve(nodes: DataFrame, scratch: Scratch, tree: str = "session_id") -> Dat
     ``parent`` makes a root. Output: (tree, node, root, depth, status), depth 0
     at the root, status ``ok``, ``orphan`` (an ancestor's parent does not exist;
     root is that ancestor) or ``cycle`` (root and depth are null). Every round
-    joins each unresolved pointer with its target's pointer, so a path of n
-    nodes takes log2(n) rounds, and a resolved tree takes no further part. An
-    empty input gives an empty result.
+    joins each unresolved pointer with its target's pointer, so pointers double
+    in length. After k rounds every path of a tree of at most 2^k nodes is
+    resolved, or runs in a circle; such trees are set aside by that number alone
+    and take no further part. An empty input gives an empty result.
     """
     at = "_tree"
     base = nodes.select(F.col(tree).alias(at), "node", "parent")
@@ -115,37 +116,29 @@ def resolve(nodes: DataFrame, scratch: Scratch, tree: str = "session_id") -> Dat
         F.coalesce(F.col("_there"), F.lit(False)).alias("open"),
         (F.col("parent").isNotNull() & F.col("_there").isNull()).alias("orphan"),
     )
-    live = scratch.save(start, "jump-0")
-    size = live.groupBy(at).count().agg(F.max("count")).first()[0] or 0
+    count = base.groupBy(at).agg(F.count("*").alias("_nodes"))
+    live = scratch.save(start.join(count, at), "jump-0")
+    columns = [at, "node", "ptr", "dist", "open", "orphan"]
     settled: list[DataFrame] = []
     k = 0
     while live.where("open").limit(1).count():
         k += 1
-        # A tree without open pointers is done; the others go on.
-        busy = live.where("open").select(at).distinct()
-        if k > 1:
-            settled.append(live.join(busy, at, "left_anti"))
-            live = live.join(busy, at, "left_semi")
         target = live.select(
             at, F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("open").alias("_open"), F.col("orphan").alias("_orphan")
         )
         moved = live.where("open").join(target, [at, "ptr"]).select(
-            at,
-            "node",
-            F.col("_ptr").alias("ptr"),
-            (F.col("dist") + F.col("_dist")).alias("dist"),
-            F.col("_open").alias("open"),
-            F.col("_orphan").alias("orphan"),
+            at, "node", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_open").alias("open"), F.col("_orphan").alias("orphan"), "_nodes"
         )
-        # More steps than the largest tree has nodes: the path runs in a circle.
-        stuck = (F.col("dist") > size) & F.col("open")
-        moved = moved.select(at, "node", F.when(~stuck, F.col("ptr")).alias("ptr"), F.when(~stuck, F.col("dist")).alias("dist"), (F.col("open") & ~stuck).alias("open"), "orphan")
-        live = scratch.save(live.where("not open").unionByName(moved), f"jump-{k}")
+        both = scratch.save(live.where("not open").unionByName(moved), f"jump-{k}")
+        settled.append(both.where(F.col("_nodes") <= 2**k).select(*columns))
+        live = both.where(F.col("_nodes") > 2**k)
+    live = live.select(*columns)
     out = live
     for s in settled:
         out = out.unionByName(s)
-    status = F.when(F.col("ptr").isNull(), "cycle").when(F.col("orphan"), "orphan").otherwise("ok")
-    return out.select(F.col(at).alias(tree), "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), status.alias("status"))
+    # What is open in a tree set aside has gone more steps than the tree has nodes.
+    status = F.when(F.col("open"), "cycle").when(F.col("orphan"), "orphan").otherwise("ok")
+    return out.select(F.col(at).alias(tree), "node", F.when(~F.col("open"), F.col("ptr")).alias("root"), F.when(~F.col("open"), F.col("dist")).alias("depth"), status.alias("status"))
 
 
 def paths(entry: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -187,6 +180,7 @@ def conversations(entry: DataFrame, scratch: Scratch) -> DataFrame:
     session: a session may be larger than any task's memory.
     """
     lines, placed = paths(entry, scratch)
+    placed = scratch.save(placed, "placed")  # read twice
     kept = placed.join(judge(lines, placed), "session_id", "left_anti").select("session_id", F.col("node").alias("byte_offset"), "depth", "role")
     # One version of each line, chosen by its hash, so that texts are not gathered.
     text = entry.select("session_id", "byte_offset", "received_at", "content").groupBy("session_id", "byte_offset").agg(
