@@ -148,6 +148,7 @@ class Engine:
     def watch(self, folder: str, seconds: float = 2.0, recursive: bool = True) -> StreamingQuery:
         """Keeps a folder indexed until the query is stopped; ``ingest.status`` tells what it did."""
         name = hashlib.sha256(f"{folder}|{recursive}".encode()).hexdigest()[:16]
+        self.expire(self.retention_days)  # before the stream begins: the store has one writer at a time
         return ingest.start(self.spark, self.store, folder, f"{self.store.root}/streams/{name}", seconds, recursive, self.counters)
 
     def health(self) -> dict:
