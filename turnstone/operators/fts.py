@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import text
+from turnstone.session import Scratch
 
 K1, B = 1.2, 0.75
 #: Indexed columns and their weights; other columns exist in queries but never match.
@@ -351,30 +352,39 @@ def _moved(by: int):  # noqa: ANN202
     return lambda i: i - by
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """Inverted index of both indexed columns: (term, col, id, tf, dl, positions), ``dl`` the length of the document.
+def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """(term, col, id, dl, pos): one row per token of the indexed columns, ``dl`` the length of the document."""
+    both = [F.transform(text.tokens(F.col(c).cast("string")), _placed(k)) for k, c in (("doc_id", id_col), ("content", text_col))]
+    df = docs.select(F.col(id_col).alias("_id"), F.concat(*both).alias("_t")).select("_id", F.size("_t").alias("dl"), F.explode("_t").alias("t"))
+    return df.select("t.term", "t.col", F.col("_id").alias(id_col), "dl", "t.pos")
+
+
+def postings(placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Inverted index of both indexed columns: (term, col, id, tf, dl, positions).
 
     Sorted by term inside range partitions by term and id, so a filter on terms
     reads few pages and a term that is in a third of all texts spans many
     partitions. The partitions also group the rows: one shuffle.
     """
-    both = [F.transform(text.tokens(F.col(c).cast("string")), _placed(k)) for k, c in (("doc_id", id_col), ("content", text_col))]
-    df = docs.select(F.col(id_col).alias("_id"), F.concat(*both).alias("_t")).select("_id", F.size("_t").alias("dl"), F.explode("_t").alias("t")).select("_id", "dl", "t.*")
-    df = df.repartitionByRange("term", "_id")
-    out = df.groupBy("term", "_id", "col").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return out.select("term", "col", F.col("_id").alias(id_col), "tf", "dl", "positions").sortWithinPartitions("term")
-
-
-def totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """One row: number of documents and of their tokens."""
-    size = F.size(text.tokens(F.col(id_col).cast("string"))) + F.size(text.tokens(F.col(text_col)))
-    return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total"))
+    df = placed.repartitionByRange("term", id_col)
+    out = df.groupBy("term", id_col, "col").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return out.select("term", "col", id_col, "tf", "dl", "positions").sortWithinPartitions("term")
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "content") -> None:
-    """The index of some documents as tables below ``path``; indexes of parts are read together."""
-    postings(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/postings")
-    totals(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/stats")
+    """The index of some documents as tables below ``path``; indexes of parts are read together.
+
+    Tokens are written down first: finding the ranges reads them once more, and
+    cutting texts costs more than reading what was cut.
+    """
+    scratch = Scratch(docs.sparkSession, "index")
+    try:
+        placed = scratch.save(places(docs, id_col, text_col), "places")
+        postings(placed, id_col).write.mode("overwrite").parquet(f"{path}/postings")
+        total = docs.agg(F.count("*").alias("n")).crossJoin(placed.agg(F.count("*").alias("total")))  # one row each
+        total.write.mode("overwrite").parquet(f"{path}/stats")
+    finally:
+        scratch.drop()
 
 
 def read_index(spark: SparkSession, paths: list[str], id_type: str = "string") -> tuple[DataFrame, DataFrame]:
